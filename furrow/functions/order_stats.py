@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.session import cut_lineage, order_buckets
+from furrow.session import counted_cut, cut_lineage, order_buckets
 
 BROADCAST_CELLS = 500_000
 
@@ -30,7 +30,8 @@ def value_counts_long(df: DataFrame, columns: list[str], by: list[str] | None =
 def _ranges(counts: DataFrame, by: list[str], value: str, n: str) -> tuple[DataFrame, list[str]]:
     """Cut every group's values into ranges of similar size and add the exact rows before each range.
 
-    The sketched bounds are checkpointed: every branch, and every recomputation after a lost executor, cuts alike.
+    The counts are written once, then the sketched bounds: every branch, and every recomputation after a lost executor,
+    cuts alike, and the base rows are read only once.
     Bounds and range totals are broadcast only when their counted size is small; otherwise both joins shuffle.
     """
     spark = counts.sparkSession
@@ -38,10 +39,11 @@ def _ranges(counts: DataFrame, by: list[str], value: str, n: str) -> tuple[DataF
     cuts = [i / buckets for i in range(1, buckets)]
     # NULL group keys must meet again after the joins.
     safe = {f"__k{i}": F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for i, c in enumerate(by)}
-    keyed = counts.withColumns(safe or {"__k0": F.lit("")})
+    keyed = cut_lineage(counts.withColumns(safe or {"__k0": F.lit("")}))
     keys = list(safe) or ["__k0"]
-    bounds = cut_lineage(keyed.groupBy(*keys).agg(F.percentile_approx(value, cuts, 100 * buckets).alias("__bounds")))
-    small = bounds.count() * buckets <= BROADCAST_CELLS
+    bounds, n_groups = counted_cut(
+        keyed.groupBy(*keys).agg(F.percentile_approx(value, cuts, 100 * buckets).alias("__bounds")))
+    small = n_groups * buckets <= BROADCAST_CELLS
     hint = F.broadcast if small else (lambda side: side)
     ranged = (keyed.join(hint(bounds), keys)
               .withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(value))))

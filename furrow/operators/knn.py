@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.session import cut_lineage
+from furrow.session import counted_cut
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
@@ -77,12 +77,11 @@ def knn_join(train: DataFrame, query: DataFrame, k: int, train_id: str = "id", q
              vector: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, neighbour_id, distance, rank) of the k nearest training points of every query, Euclidean."""
     points = train.select(F.col(train_id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    points = cut_lineage(_first_copies(points, k))
+    points, n_points = counted_cut(_first_copies(points, k))
     asked = query.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
     asked = asked.withColumn("qkey", vector_key("vector"))
     questions = asked.groupBy("qkey").agg(F.any_value("vector").alias("vector"))
     id_type = dict(points.dtypes)["id"]
-    n_points = points.count()
     if n_points == 0:
         return asked.select("query_id", F.lit(None).cast(id_type).alias("neighbour_id"),
                             F.lit(None).cast("double").alias("distance"),
@@ -177,8 +176,8 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, target: str, train_i
     return (neighbours.join(values, "neighbour_id").groupBy("query_id").agg(F.avg("__y").alias("y_pred")))
 
 
-def knn_impute(train: DataFrame, query: DataFrame, columns: list[str], k: int = 15, query_id: str = "id",
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_impute(train: DataFrame, query: DataFrame, columns: list[str], k: int = 15, train_id: str = "id",
+               query_id: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fill each missing value of ``query`` with the mean over its k nearest donors in ``train``.
 
     Donors of a column are the training rows that have it; the distance uses the coordinates both rows have. Without any
@@ -186,14 +185,13 @@ def knn_impute(train: DataFrame, query: DataFrame, columns: list[str], k: int =
     row meets every block, and blocks are bounded on both sides.
     """
     as_vector = F.array(*[F.col(c).cast("double") for c in columns])
-    donors = cut_lineage(train.select(F.monotonically_increasing_id().alias("id"), as_vector.alias("vector")))
+    donors, n_donors = counted_cut(train.select(F.col(train_id).cast("long").alias("id"), as_vector.alias("vector")))
     incomplete = F.exists(F.col("vector"), lambda v: v.isNull())
     rows = query.select(F.col(query_id).alias("query_id"), as_vector.alias("vector"))
     asked = (rows.where(incomplete).withColumn("qkey", vector_key("vector"))
              .groupBy("qkey").agg(F.any_value("vector").alias("vector")))
-    asked = cut_lineage(asked)
-    point_blocks = max(1, -(-donors.count() // block_rows))
-    query_blocks = max(1, -(-asked.count() // block_rows))
+    asked, n_asked = counted_cut(asked)
+    point_blocks, query_blocks = (max(1, -(-n // block_rows)) for n in (n_donors, n_asked))
     key = ["point_block", "query_block"]
     left = (donors.withColumn("point_block", F.pmod(F.xxhash64("id"), F.lit(point_blocks)))
             .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long")))

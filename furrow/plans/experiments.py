@@ -151,8 +151,8 @@ def _fit_fold(train: DataFrame, test: DataFrame, stats: dict, specs: list[ModelS
               policy: Policy) -> list[DataFrame]:
     impute = policy.impute
     if impute == "knn":
-        train, test = (knn_impute(train, train, roles.numeric, KNN_NEIGHBOURS, "row_no"),
-                       knn_impute(train, test, roles.numeric, KNN_NEIGHBOURS, "row_no"))
+        train, test = (knn_impute(train, train, roles.numeric, KNN_NEIGHBOURS, "row_no", "row_no"),
+                       knn_impute(train, test, roles.numeric, KNN_NEIGHBOURS, "row_no", "row_no"))
     elif impute == "iterative":
         train, (test,) = iterative_impute(train, [test], roles.numeric, policy.rounds)
     if impute in ("knn", "iterative"):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,10 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The result survives lost executors, is computed once (an eager checkpoint computes twice), and its file size is known
     to the planner.
     """
-    spark = df.sparkSession
+    return counted_cut(df)[0]
+
+
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` with the row count, taken while writing."""
+    spark, seen = df.sparkSession, Observation()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def order_buckets(spark: SparkSession) -> int:
