@@ -134,6 +134,11 @@ def knn_join(train: DataFrame, query: DataFrame, k: int, train_id: str = "id", q
                    sizes, np.array([visit_counts.get(c, 0) for c in range(n_cells)]), k, id_type, block_rows)
 
 
+def _block_numbers(blocks):
+    """One row per block number."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))
+
+
 def _blocks(counts: np.ndarray, block_rows: int):
     """Literal array: into how many blocks each cell is cut."""
     return F.array(*[F.lit(int(max(1, -(-int(c) // block_rows)))) for c in counts])
@@ -144,9 +149,9 @@ def _answer(asked: DataFrame, points: DataFrame, visited: DataFrame, sizes: np.n
     point_blocks, query_blocks = _blocks(sizes, block_rows), _blocks(visit_counts, block_rows)
     key = ["cell", "point_block", "query_block"]
     left = (points.withColumn("point_block", F.pmod(F.xxhash64("id"), point_blocks[F.col("cell")]))
-            .withColumn("query_block", F.explode(F.sequence(F.lit(0), query_blocks[F.col("cell")] - 1)).cast("long")))
+            .withColumn("query_block", _block_numbers(query_blocks[F.col("cell")])))
     right = (visited.withColumn("query_block", F.pmod(F.xxhash64("qkey"), query_blocks[F.col("cell")]))
-             .withColumn("point_block", F.explode(F.sequence(F.lit(0), point_blocks[F.col("cell")] - 1)).cast("long")))
+             .withColumn("point_block", _block_numbers(point_blocks[F.col("cell")])))
 
     def block_nearest(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -194,9 +199,9 @@ def knn_impute(train: DataFrame, query: DataFrame, columns: list[str], k: int =
     point_blocks, query_blocks = (max(1, -(-n // block_rows)) for n in (n_donors, n_asked))
     key = ["point_block", "query_block"]
     left = (donors.withColumn("point_block", F.pmod(F.xxhash64("id"), F.lit(point_blocks)))
-            .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long")))
+            .withColumn("query_block", _block_numbers(F.lit(query_blocks))))
     right = (asked.withColumn("query_block", F.pmod(F.xxhash64("qkey"), F.lit(query_blocks)))
-             .withColumn("point_block", F.explode(F.sequence(F.lit(0), F.lit(point_blocks - 1))).cast("long")))
+             .withColumn("point_block", _block_numbers(F.lit(point_blocks))))
 
     def block_donors(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -1 +1,145 @@
-"""Queries."""
+"""End-to-end experiments. The baseline forms have a SQL counterpart; the learned ones are checked by invariants in tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from furrow.operators.models import ModelSpec
+from furrow.plans import experiments as ex
+from furrow.sources.tables import load_model, save_model
+from verification.evaluation_queries import fold_ctes, spearman_ctes, subset_ctes
+from verification.registry import assemble, known, mart, query, scratch
+
+BASELINES = [ModelSpec("baseline_mean"), ModelSpec("baseline_env_mean")]
+RIDGE = ModelSpec("ridge", {"alpha": 1.0})
+SMALL_FOREST = ModelSpec("rf", {"n_estimators": 8, "max_depth": 5})
+SMALL_BOOSTER = ModelSpec("xgb", {"rounds": 5, "learning_rate": 0.3, "max_depth": 4})
+
+
+def _baseline_ctes(thresholds: str) -> dict[str, str]:
+    return {
+        **fold_ctes("banded", 5), "held": "SELECT CAST(unnest(range(5)) AS INT) AS held_out",
+        "ths": f"SELECT unnest({thresholds})::DOUBLE AS threshold",
+        "gmean": "SELECT threshold, held_out, avg(o_a_score) AS m FROM folded JOIN held ON fold <> held_out JOIN ths ON f <= threshold "
+                 "WHERE o_a_score IS NOT NULL GROUP BY ALL",
+        "emean": "SELECT threshold, held_out, env_type AS e, avg(o_a_score) AS m FROM folded JOIN held ON fold <> held_out JOIN ths "
+                 "ON f <= threshold WHERE o_a_score IS NOT NULL GROUP BY ALL",
+        "pred": "SELECT 'baseline_mean' AS model, threshold, fold, plot, name1, env_type, band AS missing_band, o_a_score AS y_true, m AS y_pred "
+                "FROM folded JOIN gmean ON fold = held_out UNION ALL SELECT 'baseline_env_mean', g.threshold, fold, plot, name1, env_type, band, "
+                "o_a_score, coalesce(e.m, g.m) FROM folded JOIN gmean g ON fold = g.held_out LEFT JOIN emean e ON fold = e.held_out "
+                "AND env_type = e.e AND e.threshold = g.threshold",
+    }
+
+
+@query("E1_out_of_fold_predictions",
+       assemble("SELECT model, fold, name1, env_type, missing_band, y_true, y_pred, y_true IS NOT NULL AS y_observed, "
+                "concat_ws('|', name1, CAST(year AS VARCHAR), location, experiment_name, CAST(p.plot AS VARCHAR)) AS row_id FROM "
+                "(SELECT pred.*, year, location, experiment_name FROM pred JOIN (SELECT DISTINCT plot, name1, year, location, "
+                "experiment_name FROM banded) k USING (plot, name1)) p", ["banded"], ["y_true", "y_pred"],
+                _baseline_ctes("[1.0]"), True))
+def out_of_fold(spark, sf_dir):
+    data = ex.with_folds(ex.prepare(known(spark, sf_dir)), 5)
+    return ex.out_of_fold(data, BASELINES, 5).drop("x_missing_frac")
+
+
+@query("E1_ridge_predictions")
+def ridge_predictions(spark, sf_dir):
+    data = ex.with_folds(ex.prepare(known(spark, sf_dir)), 5)
+    return ex.out_of_fold(data, [RIDGE], 5)
+
+
+_MEANS = ", ".join(f"avg({m}) FILTER (WHERE subset = '{s}') AS {m}_{s}_mean" for m, s in
+                   (("rmse", "ne"), ("rmse", "med"), ("mae", "all"), ("mae", "complete"), ("r2", "all"), ("r2", "incomplete"),
+                    ("pearson_r", "med")))
+_MEAN_NAMES = ["rmse_ne_mean", "rmse_med_mean", "mae_all_mean", "mae_complete_mean", "r2_all_mean", "r2_incomplete_mean", "pearson_r_med_mean"]
+_RMSE = ("avg(rmse) FILTER (WHERE subset = 'all') AS rmse_all_mean, stddev_samp(rmse) FILTER (WHERE subset = 'all') AS rmse_all_std, "
+         "stddev_samp(rmse) FILTER (WHERE subset = 'all') / sqrt(count(rmse) FILTER (WHERE subset = 'all')) AS rmse_all_se, "
+         "count(rmse) FILTER (WHERE subset = 'all') AS rmse_all_n")
+
+
+@query("E3_baseline_selection",
+       assemble(f"SELECT s.*, k.spearman_variety_all_mean FROM (SELECT model, {_RMSE}, {_MEANS} FROM met GROUP BY model) s JOIN "
+                "(SELECT model, avg(spearman) FILTER (WHERE subset = 'all') AS spearman_variety_all_mean FROM spm GROUP BY model) k "
+                "USING (model)", ["banded"],
+                ["rmse_all_mean", "rmse_all_std", "rmse_all_se", *_MEAN_NAMES, "spearman_variety_all_mean"],
+                {**_baseline_ctes("[1.0]"), **subset_ctes("pred"), **spearman_ctes("pred")}, True))
+def baseline_selection(spark, sf_dir):
+    summary = ex.model_selection(known(spark, sf_dir), BASELINES)["ranking"]
+    return summary.select("model", "rmse_all_mean", "rmse_all_std", "rmse_all_se", "rmse_all_n", *_MEAN_NAMES, "spearman_variety_all_mean")
+
+
+@query("E3_model_selection")
+def model_selection(spark, sf_dir):
+    """Baselines and every distributed family, reduced tree counts."""
+    specs = [*BASELINES, RIDGE, SMALL_FOREST, SMALL_BOOSTER, ModelSpec("svr", {"n_components": 32, "max_iter": 10})]
+    return ex.model_selection(mart(spark, sf_dir), specs)["ranking"]
+
+
+_THRESHOLDS = [i / 10 for i in range(1, 11)]
+
+
+@query("E2_baseline_threshold_sweep",
+       assemble("SELECT threshold, avg(r) AS rmse_all_mean_avg_models, min(r) AS rmse_all_mean_best_model FROM (SELECT model, threshold, "
+                "avg(rmse) AS r FROM met WHERE subset = 'all' GROUP BY ALL) GROUP BY threshold", ["banded"],
+                ["threshold", "rmse_all_mean_avg_models", "rmse_all_mean_best_model"],
+                {**_baseline_ctes(str(_THRESHOLDS)), **subset_ctes("pred", "model, threshold, fold")}, True))
+def baseline_threshold_sweep(spark, sf_dir):
+    sweep = ex.threshold_sweep(known(spark, sf_dir), BASELINES, _THRESHOLDS)
+    return sweep["summary"].drop("best_model_at_threshold")
+
+
+@query("E2_threshold_sweep")
+def threshold_sweep(spark, sf_dir):
+    return ex.threshold_sweep(mart(spark, sf_dir), [RIDGE], [0.2, 0.5, 1.0])["summary"]
+
+
+@query("E4_imputation_comparison")
+def imputation_comparison(spark, sf_dir):
+    return ex.imputation_comparison(mart(spark, sf_dir), [RIDGE], [("median", False), ("median", True), ("mean", False)],
+                                    native_reference=SMALL_BOOSTER)
+
+
+@query("E5_nested_tuning_kernel")
+def nested_tuning_kernel(spark, sf_dir):
+    tuned = ex.nested_tuning(mart(spark, sf_dir), "svr", ex.KERNEL_SPACE, n_trials=1, outer=2, inner=2, first=ex.KERNEL_BASELINE,
+                             fixed={"n_components": 32, "max_iter": 10})
+    return tuned["fold_metrics"]
+
+
+@query("E6_parameter_search")
+def parameter_search(spark, sf_dir):
+    data = ex.with_folds(ex.prepare(mart(spark, sf_dir)), 3)
+    space = {"alpha": ("log", 1e-3, 1e3)}
+    return ex.trials_frame(spark, ex.parameter_search(data, "ridge", space, 3, 3, 42)[1])
+
+
+@query("E7_environment_transfer")
+def environment_transfer(spark, sf_dir):
+    return ex.environment_transfer(mart(spark, sf_dir), RIDGE)
+
+
+@query("E8_production_training")
+def production_training(spark, sf_dir):
+    """Search, refit, persist, load and score the mart with the loaded model."""
+    folder = scratch(spark)
+    rows = mart(spark, sf_dir)
+    ex.production_training(rows, n_trials=1, k=2, first={"rounds": 4, "learning_rate": 0.3, "max_depth": 4}, folder=folder)
+    return load_model(folder).transform(rows).select("plot", "o_a_score", "y_pred")
+
+
+@query("E9_feature_attribution")
+def feature_attribution(spark, sf_dir):
+    return ex.feature_attribution(mart(spark, sf_dir), RIDGE)["comparison"]
+
+
+@query("E9_permutation_importance")
+def permutation_importance(spark, sf_dir):
+    return ex.feature_attribution(mart(spark, sf_dir), SMALL_FOREST)["importance"]
+
+
+@query("S18_model_persistence")
+def model_persistence(spark, sf_dir):
+    folder, rows = scratch(spark), mart(spark, sf_dir)
+    save_model(ex.fit_all(ex.prepare(rows), RIDGE), ex.Roles(), folder, 0, ex.SAMPLE_ROWS)
+    return load_model(folder).transform(rows).agg(
+        F.count("*").alias("n_scored"), F.sqrt(F.avg(F.pow(F.col("y_pred") - F.col("o_a_score"), F.lit(2)))).alias("rmse"))
