@@ -13,6 +13,7 @@ from furrow.functions.stats import mean_std_se, nan_mean, regression_metrics, sa
 from furrow.schema import GROUP_SUBSETS, SUBSETS
 from furrow.session import cut_lineage
 
+MEAN_DIGITS = 12
 METRICS = ["n", "rmse", "mae", "pearson_r", "r2"]
 
 
@@ -47,8 +48,8 @@ def group_spearman(predictions: DataFrame, by: list[str], group: str = "name1",
     labels = _subset_labels(subsets, F.col("env_type"), None)
     means = (partial.select(*by, group, "t", "p", "n", F.explode(labels).alias("subset"))
              .groupBy(*by, "subset", group)
-             .agg((F.sum("t") / F.sum("n")).alias("t"), (F.sum("p") / F.sum("n")).alias("p")))
-    # Means are float sums: fix them once, so that the rank lookup meets the same bits.
+             .agg(*[F.round(F.sum(c) / F.sum("n"), MEAN_DIGITS).alias(c) for c in ("t", "p")]))
+    # Means are float sums: rounding keeps equal means tied, and writing them once lets the rank lookup meet the same bits.
     stacked = cut_lineage(means.unpivot([*by, "subset", group], ["t", "p"], "side", "value"))
     ranked = average_rank(stacked, "value", [*by, "subset", "side"])
     sides = ranked.groupBy(*by, "subset", group).agg(

@@ -24,18 +24,17 @@ def _baseline_ctes(thresholds: str) -> dict[str, str]:
                  "WHERE o_a_score IS NOT NULL GROUP BY ALL",
         "emean": "SELECT threshold, held_out, env_type AS e, avg(o_a_score) AS m FROM folded JOIN held ON fold <> held_out JOIN ths "
                  "ON f <= threshold WHERE o_a_score IS NOT NULL GROUP BY ALL",
-        "pred": "SELECT 'baseline_mean' AS model, threshold, fold, plot, name1, env_type, band AS missing_band, o_a_score AS y_true, m AS y_pred "
-                "FROM folded JOIN gmean ON fold = held_out UNION ALL SELECT 'baseline_env_mean', g.threshold, fold, plot, name1, env_type, band, "
-                "o_a_score, coalesce(e.m, g.m) FROM folded JOIN gmean g ON fold = g.held_out LEFT JOIN emean e ON fold = e.held_out "
+        "rows_in": "SELECT *, concat_ws('|', name1, CAST(year AS VARCHAR), location, experiment_name, CAST(plot AS VARCHAR)) AS row_id FROM folded",
+        "pred": "SELECT 'baseline_mean' AS model, threshold, fold, row_id, name1, env_type, band AS missing_band, o_a_score AS y_true, m AS y_pred "
+                "FROM rows_in JOIN gmean ON fold = held_out UNION ALL SELECT 'baseline_env_mean', g.threshold, fold, row_id, name1, env_type, band, "
+                "o_a_score, coalesce(e.m, g.m) FROM rows_in JOIN gmean g ON fold = g.held_out LEFT JOIN emean e ON fold = e.held_out "
                 "AND env_type = e.e AND e.threshold = g.threshold",
     }
 
 
 @query("E1_out_of_fold_predictions",
-       assemble("SELECT model, fold, name1, env_type, missing_band, y_true, y_pred, y_true IS NOT NULL AS y_observed, "
-                "concat_ws('|', name1, CAST(year AS VARCHAR), location, experiment_name, CAST(p.plot AS VARCHAR)) AS row_id FROM "
-                "(SELECT pred.*, year, location, experiment_name FROM pred JOIN (SELECT DISTINCT plot, name1, year, location, "
-                "experiment_name FROM banded) k USING (plot, name1)) p", ["banded"], ["y_true", "y_pred"],
+       assemble("SELECT model, fold, name1, env_type, missing_band, y_true, y_pred, y_true IS NOT NULL AS y_observed, row_id FROM pred",
+                ["banded"], ["y_true", "y_pred"],
                 _baseline_ctes("[1.0]"), True))
 def out_of_fold(spark, sf_dir):
     data = ex.with_folds(ex.prepare(known(spark, sf_dir)), 5)
