@@ -15,9 +15,14 @@ DIGITS = r"\d+(_\d+)*"
 NUMBER = rf"^[+-]?({DIGITS}\.?({DIGITS})?|\.{DIGITS})([eE][+-]?{DIGITS})?$"
 
 
+# The characters that count as white space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, tabs and no-break spaces included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def text_to_double(text: Column) -> Column:
@@ -53,7 +58,8 @@ def normalised_value(field: T.StructField, whole_number_cols: tuple[str, ...] =
     column, dtype = F.col(f"`{field.name}`"), field.dataType
     if isinstance(dtype, T.StringType):
         bare = strip(column)
-        negative = (text_to_double(column) < 0) | F.lower(bare).isin("-inf", "-infinity")
+        # Only text with a minus sign pays for the number test.
+        negative = bare.startswith("-") & ((text_to_double(column) < 0) | F.lower(bare).isin("-inf", "-infinity"))
         return F.when((bare != "") & ~F.coalesce(negative, F.lit(False)), bare)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(column) & (column >= 0), column.cast("double"))
