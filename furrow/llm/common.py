@@ -54,7 +54,7 @@ class Membership:
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, component) of an undirected graph of longs: component is the smallest node of its connected part.
+    """(node, component) of an undirected graph (nodes of any type with an order): component is the smallest node of its connected part.
 
     Every node joins its neighbour of least hash (or itself), twice over; the edges are carried to the joined nodes and
     repeats go. A hash order makes chains of any order of ids shrink by a share in each round. Each round is written to the
