@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.llm.bpe_trie import encode_documents
 from furrow.llm.common import table
+from furrow.llm.decontaminate import contaminated
 from furrow.llm.ngram_join import similar_components
 from furrow.llm.substring_dedup import remove_repeats
 
@@ -20,6 +22,17 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_documents(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json")
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), n=4, percent=85)

@@ -22,6 +22,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PLAIN = _LOWER.copy()
+_PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
 
 class _Powers:
@@ -103,23 +105,24 @@ def strings(column) -> pa.Array:
     return column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())
 
 
-def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[Words]:
+def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES, plain: bool = False) -> Iterator[Words]:
     """Words of the column in blocks of about ``limit`` bytes; a row is never cut, a longer one is a block of its own.
 
-    ``lower`` turns A-Z into a-z before hashing, also in ``raw``.
+    ``lower`` turns A-Z into a-z before hashing, also in ``raw``; ``plain`` makes ASCII punctuation and controls spaces too.
     """
     data, offsets = _buffer(strings(column))
     n, first = len(offsets) - 1, 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
         last = min(n, max(last, first + 1))
-        yield _words(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first], first, lower)
+        yield _words(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first], first,
+                     _PLAIN if plain else _LOWER if lower else None)
         first = last
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, first: int, lower: bool) -> Words:
-    if lower:
-        data = _LOWER[data]
+def _words(data: np.ndarray, offsets: np.ndarray, first: int, change: np.ndarray | None) -> Words:
+    if change is not None:
+        data = change[data]
     rows, size = len(offsets) - 1, len(data)
     if not size:
         none = np.zeros(0, dtype=np.int64)
