@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from furrow.llm.bpe_trie import encode_documents
 from furrow.llm.common import table
 from furrow.llm.decontaminate import contaminated
+from furrow.llm.fingerprints import edited_likeness
 from furrow.llm.ngram_join import similar_components
 from furrow.llm.substring_dedup import remove_repeats
 
@@ -33,6 +34,13 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edited_likeness(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                      "near_edited", "near_next")
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), n=4, percent=85)
