@@ -12,7 +12,9 @@ from furrow.llm.common import table
 from furrow.llm.decontaminate import contaminated
 from furrow.llm.fingerprints import edited_likeness
 from furrow.llm.ngram_join import similar_components
+from furrow.llm.shards import shard_documents
 from furrow.llm.substring_dedup import remove_repeats
+from furrow.llm.warc import archive_folder, read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +25,19 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archive_folder(spark)
+    index = write_archives(table(spark, sf_dir, "pages"), folder)
+    records = read_records(index, folder, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
