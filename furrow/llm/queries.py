@@ -12,6 +12,7 @@ from furrow.llm.common import table
 from furrow.llm.decontaminate import contaminated
 from furrow.llm.fingerprints import edited_likeness
 from furrow.llm.ngram_join import similar_components
+from furrow.llm.secrets import BASE, scan_secrets
 from furrow.llm.shards import shard_documents
 from furrow.llm.substring_dedup import remove_repeats
 from furrow.llm.warc import archive_folder, read_records, write_archives
@@ -33,6 +34,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in BASE)))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
