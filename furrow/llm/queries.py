@@ -11,7 +11,9 @@ from furrow.llm.bpe_trie import encode_documents
 from furrow.llm.common import table
 from furrow.llm.decontaminate import contaminated
 from furrow.llm.fingerprints import edited_likeness
+from furrow.llm.html_text import extract_pages
 from furrow.llm.ngram_join import similar_components
+from furrow.llm.quality import fit_quality, held_out, labelled_documents, score_quality
 from furrow.llm.secrets import BASE, scan_secrets
 from furrow.llm.shards import shard_documents
 from furrow.llm.substring_dedup import remove_repeats
@@ -34,6 +36,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
@@ -51,6 +61,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = extract_pages(table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
