@@ -6,10 +6,52 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from furrow.llm.bpe_trie import encode_documents
+from furrow.llm.common import table
+from furrow.llm.decontaminate import without_contaminated
+from furrow.llm.ngram_join import one_of_each
+from furrow.llm.quality import fit_quality, labelled_documents, score_quality
+from furrow.llm.secrets import redact, scan_secrets
 from furrow.session import ensure_checkpoint_dir
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least 0.5."""
+    model = fit_quality(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    return score_quality(docs, model).where("score >= 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    return one_of_each(docs, n=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item by half or more."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    clean = redact(F.col("text"), F.col("spans"))
+    return scan_secrets(docs).withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers) and their number for every document."""
+    return encode_documents(docs, keep=("lang", "source", "n_chars")).drop("decoded")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("BPE encoding and decoding", tokens),
+]
+# No SQL: the classifier, the tiling and the encoder have none; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -217,11 +217,14 @@ def _encode(name: str):
     return run
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    """(id, ids, n_tokens, decoded) of every row; ``tokenizer`` is a path or the name of a file of the tokenizer package.
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns to keep, ids, n_tokens, decoded) of every row; ``tokenizer`` is a path or a file name of the tokenizer package.
 
     ``ids`` holds little-endian unsigned 32-bit integers. One map pass, no shuffle.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.toDF("id", "text").mapInArrow(_encode(tokenizer), f"id {kind}, ids binary, n_tokens long, decoded string").withColumnRenamed("id", id_col)
+    kept = [id_col, *keep]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(kept)), text.alias("text"))
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1])
+    return rows.mapInArrow(_encode(tokenizer), f"{schema}, ids binary, n_tokens long, decoded string").toDF(*kept, "ids", "n_tokens", "decoded")

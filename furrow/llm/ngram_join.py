@@ -82,11 +82,11 @@ def _describe(n: int, percent: int):
     """Per row: set size, key, the least tokens and the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column("rid").to_numpy()
             for block in blocks(batch.column("text"), lower=True):
                 row, token = token_sets(block, n)
                 bounds = np.searchsorted(row, np.arange(block.rows + 1))
                 size = np.diff(bounds)
+                own = batch.slice(block.first, block.rows)
                 full = np.flatnonzero(size)
                 begin, count = bounds[full], size[full]
                 keys = np.zeros((block.rows, 2), dtype=np.uint64)
@@ -96,9 +96,9 @@ def _describe(n: int, percent: int):
                 pick = np.repeat(begin - np.append(0, np.cumsum(low[full])[:-1]), low[full]) + np.arange(low.sum())
                 maps = [bitmap(token[a:b], map_bits(b - a)) if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[block.first:block.first + block.rows]), pa.array(size.astype(np.int64)), _binary(keys),
+                    [own.column("rid"), own.column("sig"), pa.array(size.astype(np.int64)), _binary(keys),
                      _lists(pa.array(token[pick].view(np.int64)), low), pa.array(maps, pa.binary())],
-                    ["rid", "size", "key", "least", "map"])
+                    ["rid", "sig", "size", "key", "least", "map"])
     return run
 
 
@@ -325,12 +325,10 @@ def _blocked(rows: DataFrame, by: list[str], share) -> DataFrame:
     return one.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "parts")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85,
-                       bucket_rows: int = 4096, block_tokens: int = 4_000_000) -> DataFrame:
-    """(id, n_shingles, component_id) for every row."""
-    rows = keyed(docs, id_col, text_col)
-    described = cut_lineage(rows.select("rid", "text").mapInArrow(
-        _describe(n, percent), "rid long, size long, key binary, least array<long>, map binary"))
+def _linked(rows: DataFrame, n: int, percent: int, bucket_rows: int, block_tokens: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (rid, sig, size, key) of ``keyed`` documents, and (key, component) of the sets that link with another one."""
+    described = cut_lineage(rows.mapInArrow(
+        _describe(n, percent), "rid long, sig long, size long, key binary, least array<long>, map binary"))
     kept = described.where("size > 0")
     tokens = kept.select(F.explode("least").alias("token"), "size", "key", F.col("least")[0].alias("lead"))
     tokens = tokens.repartition("token").sortWithinPartitions("token", "size", "key")
@@ -344,7 +342,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     coarse = buckets.mapInArrow(_coarse(percent), "a binary, b binary")
     clusters, many = counted_cut(components(coarse, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("cluster")))
     if not many:
-        return described.select(_id(id_col), F.col("size").alias("n_shingles"), _id("component_id"))
+        return described, None
     wanted = Membership(clusters.select(F.expr("CAST(conv(hex(substring(key, 1, 8)), 16, -10) AS BIGINT)").alias("k")), "k", many)
     sets = rows.select("text").mapInArrow(_members(n, wanted), "key binary, tokens array<long>")
     placed = clusters.join(kept.groupBy("key").agg(F.first("size").alias("size")), "key")
@@ -353,16 +351,45 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.select("cluster", "i", "j", "key", "tokens").repartition("cluster", "i", "j").sortWithinPartitions(
         "cluster", "i", "j", F.ceil(F.log2(F.size("tokens"))), F.col("tokens")[0], F.size("tokens"), "key")
     links = members.mapInArrow(_exact(percent), "a binary, b binary")
-    parts = components(links, "a", "b")
-    nodes = kept.groupBy("key").agg(F.min("rid").alias("low")).join(parts.withColumnRenamed("node", "key"), "key", "left")
-    nodes = nodes.withColumn("component", F.coalesce("component", "key"))
-    lowest = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = nodes.join(lowest, "component").select("key", "component_id")
-    out = described.select("rid", "size", "key").join(named, "key", "left").withColumn(
-        "component_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("rid")))
-    return out.select(_id(id_col), F.col("size").alias("n_shingles"),
-                      F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+    return described, components(links, "a", "b").withColumnRenamed("node", "key")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85,
+                       bucket_rows: int = 4096, block_tokens: int = 4_000_000) -> DataFrame:
+    """(id, n_shingles, component_id) for every row."""
+    described, parts = _linked(keyed(docs, id_col, text_col), n, percent, bucket_rows, block_tokens)
+    nodes = described.where("size > 0").groupBy("key").agg(F.min("rid").alias("low"))
+    if parts is not None:
+        nodes = nodes.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        lowest = nodes.groupBy("component").agg(F.min("low").alias("least"))
+        nodes = nodes.join(lowest, "component").select("key", F.col("least").alias("low"))
+    out = described.select("rid", "size", "key").join(nodes, "key", "left")
+    low = F.when(F.col("size") > 0, F.col("low")).otherwise(F.col("rid"))
+    return out.select(_id("rid").alias(id_col), F.col("size").alias("n_shingles"), F.when(low != NO_ID, low).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
+                bucket_rows: int = 4096, block_tokens: int = 4_000_000) -> DataFrame:
+    """The documents, all their columns, without the near copies: of each component the row with the smallest id stays.
+
+    Rows with the empty set link with nothing and all stay.
+    """
+    described, parts = _linked(keyed(docs, id_col, text_col), n, percent, bucket_rows, block_tokens)
+    sets = described.select("rid", "sig", "size", "key")
+    if parts is not None:
+        sets = sets.join(parts, "key", "left").withColumn("key", F.coalesce("component", "key"))
+    first = sets.where("size > 0").groupBy("key").agg(F.min(F.struct("rid", "sig")).alias("s")).select("s.rid", "s.sig", F.lit(True).alias("only"))
+    stay = first.unionByName(sets.where("size = 0").select("rid", "sig", F.lit(False).alias("only")).distinct())
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    at = {c: F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)}
+    rows = rows.withColumn("rid", F.coalesce(at[id_col].cast("long"), F.lit(NO_ID))).withColumn(
+        "sig", F.xxhash64(F.coalesce(at[text_col].cast("string"), F.lit(""))))
+    kept = rows.join(stay, ["rid", "sig"])
+    # rows that repeat the id and text of a kept one are copies too
+    single = kept.where("only").dropDuplicates(["rid", "sig"])
+    return single.unionByName(kept.where("NOT only")).select(*names).toDF(*docs.columns)
 
 
 def _id(name: str):
-    return F.when(F.col("rid") != NO_ID, F.col("rid")).alias(name)
+    return F.when(F.col(name) != NO_ID, F.col(name))
