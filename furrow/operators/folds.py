@@ -114,4 +114,4 @@ def leaked_groups(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
 
 def assert_no_leakage(train: DataFrame, test: DataFrame, group: str) -> None:
     if leaked_groups(train, test, group).limit(1).count():
-        raise AssertionError("Transfer leakage: variety overlap between train and test")
+        raise AssertionError(f"some values of {group} are in both the fitted and the tested rows")

@@ -40,14 +40,19 @@ PROFILE_OF = {"baseline_mean": "baseline", "baseline_env_mean": "baseline", "rid
               "knn": "linear", "svr": "linear", "xgb": "booster", "lgbm": "booster"}
 
 
-def _boosted(params: dict[str, Any]) -> GBTRegressor:
-    """Boosted trees; the round count is the caller's, MLlib boosting is sequential, so keep it moderate."""
+def _boosted(params: dict[str, Any], n_rows: int) -> GBTRegressor:
+    """Boosted trees; the round count is the caller's, MLlib boosting is sequential, so keep it moderate.
+
+    ``gamma`` is the least total loss reduction of a split. MLlib asks for the gain in variance per row instead, and the
+    squared loss of n rows falls by n / 2 times that gain.
+    """
     return GBTRegressor(labelCol="label", featuresCol="features", seed=int(params.get("seed", SEED)),
                         maxIter=int(params.get("rounds", 50)), stepSize=float(params.get("learning_rate", 0.1)),
                         maxDepth=int(params.get("max_depth", 6)),
                         subsamplingRate=float(params.get("subsample", 0.8)),
                         minInstancesPerNode=max(1, int(params.get("min_child_weight", 1))),
-                        minInfoGain=float(params.get("gamma", 0.0)))
+                        featureSubsetStrategy=str(params.get("column_share", "all")),
+                        minInfoGain=2.0 * float(params.get("gamma", 0.0)) / max(n_rows, 1))
 
 
 @dataclass
@@ -68,7 +73,7 @@ def fit_model(spec: ModelSpec, train: DataFrame) -> FittedModel:
             labelCol="label", featuresCol="features", featureSubsetStrategy="all", seed=int(p.get("seed", SEED)),
             numTrees=int(p.get("n_estimators", 500)), maxDepth=int(p.get("max_depth", 15))), train)
     if spec.name in ("xgb", "lgbm"):
-        return _spark_model(_boosted(p), train)
+        return _spark_model(_boosted(p, train.count()), train)
     if spec.name == "svr":
         return _kernel_model(train, p)
     if spec.name == "knn":
@@ -99,7 +104,8 @@ def _ridge(train: DataFrame, alpha: float) -> LinearRegression:
 def _kernel_model(train: DataFrame, p: dict[str, Any]) -> FittedModel:
     """RBF-kernel regression through random Fourier features (Rahimi and Recht 2007) and a robust linear fit.
 
-    The projection is drawn from the seed, so every task builds the same one.
+    The projection is drawn from the seed, so every task builds the same one. ``huber_shape`` (above 1) is where the loss turns
+    from squared to linear, in units of the estimated scale; it is not the width of an insensitive tube.
     """
     shape = train.agg(Summarizer.mean(F.col("features")).alias("m"),
                       Summarizer.variance(F.col("features")).alias("v")).collect()[0]
@@ -128,7 +134,7 @@ def _kernel_model(train: DataFrame, p: dict[str, Any]) -> FittedModel:
 
     n = max(train.count(), 1)
     model = LinearRegression(labelCol="label", featuresCol="__lifted", predictionCol="y_pred", loss="huber",
-                             epsilon=1.0 + float(p.get("epsilon", 0.1)),
+                             epsilon=float(p.get("huber_shape", 1.35)),
                              regParam=1.0 / (float(p.get("C", 1.0)) * n), standardization=False,
                              maxIter=int(p.get("max_iter", 50))).fit(lifted(train))
     return FittedModel(lambda df: model.transform(lifted(df)).drop("__lifted"), model)

@@ -218,6 +218,7 @@ def quality_summary(df: DataFrame) -> DataFrame:
         return F.format_number(F.col(name), 0)
 
     year = F.concat(F.col("y0").cast("string"), F.lit("–"), F.col("y1").cast("string"))
+    # Names and texts of the summary.
     metrics = {
         "total rows": number("rows"), "varieties": number("groups"), "sites": F.col("sites").cast("string"),
         "year span": year, "NE rows": number("NE"), "MED rows": number("MED"),

@@ -40,7 +40,7 @@ class Roles:
 MODEL_SPECS = [
     ModelSpec("baseline_mean"), ModelSpec("baseline_env_mean"), ModelSpec("ridge", {"alpha": 1.0}),
     ModelSpec("rf", {"n_estimators": 500}), ModelSpec("knn", {"n_neighbors": 5}),
-    ModelSpec("svr", {"C": 1.0, "epsilon": 0.1}),
+    ModelSpec("svr", {"C": 1.0}),
     ModelSpec("xgb", {"learning_rate": 0.03, "max_depth": 6, "subsample": 0.8}),
     ModelSpec("lgbm", {"learning_rate": 0.03, "max_depth": 6, "subsample": 0.8}),
 ]
@@ -52,13 +52,13 @@ THRESHOLDS = [i / 10 for i in range(1, 11)]
 TUNED_BOOSTER = {"learning_rate": 0.05579378978522556, "max_depth": 4, "min_child_weight": 16.17686906786567,
                  "subsample": 0.7266044212478868, "gamma": 0.16930231325154688}
 BOOSTER_BASELINE = {"learning_rate": 0.03, "max_depth": 6, "min_child_weight": 1.0, "subsample": 0.8, "gamma": 0.0}
-KERNEL_BASELINE = {"C": 1.0, "epsilon": 0.1, "gamma_mode": "scale"}
+KERNEL_BASELINE = {"C": 1.0, "huber_shape": 1.35, "gamma_mode": "scale"}
 BOOSTER_SPACE = {
     "rounds": ("int", 20, 50), "learning_rate": ("log", 0.01, 0.3), "max_depth": ("int", 3, 10),
     "min_child_weight": ("log", 1.0, 20.0), "subsample": ("uniform", 0.5, 1.0), "gamma": ("uniform", 0.0, 10.0),
 }
 KERNEL_SPACE = {
-    "C": ("log", 1e-2, 1e3), "epsilon": ("log", 1e-3, 1.0),
+    "C": ("log", 1e-2, 1e3), "huber_shape": ("uniform", 1.05, 3.0),
     "gamma_mode": ("choice", ["scale", "auto", "float"]),
     "gamma": ("when", "gamma_mode", "float", ("log", 1e-8, 1.0)),
 }
@@ -79,7 +79,7 @@ def prepare(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     }).withColumn("missing_band", missing_band(F.col("missing_frac")))
     df = cut_lineage(df)
     if df.where(F.col(roles.target).isNotNull()).limit(1).count() == 0:
-        raise ValueError(f"Target '{roles.target}' is all-null after coercion.")
+        raise ValueError(f"{roles.target} holds no number in any row")
     return df
 
 
@@ -333,7 +333,7 @@ def fit_all(df: DataFrame, spec: ModelSpec, roles: Roles = Roles(), threshold: f
     """Fit on all eligible rows."""
     rows = df.where((F.col("missing_frac") <= threshold) & F.col(roles.target).isNotNull())
     if rows.limit(1).count() == 0:
-        raise ValueError("No rows left after training filter. Check threshold policy and data.")
+        raise ValueError(f"no row has a target and at most {threshold} of its numbers missing")
     stats = full_statistics(rows, roles.numeric)
     stages = preprocessor(spec.profile, roles.numeric, roles.categorical, stats).fit(rows)
     encoded = stages.transform(rows).withColumn("label", F.col(roles.target))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +29,32 @@ def build_session(app_name: str = "furrow", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+_OWNED: list[list[str]] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local session may fall back to a temp folder."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share; there is no fallback to a machine's own folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="furrow-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def owned_cuts(spark: SparkSession) -> Iterator[None]:
+    """Tables that lineage is cut with inside of the block are deleted at its end: use it around a job that writes its result."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for text in _OWNED.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -58,6 +70,8 @@ def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut_lineage`` with the row count, taken while writing."""
     spark, seen = df.sparkSession, Observation()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 

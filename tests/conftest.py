@@ -13,7 +13,8 @@ def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     session = build_session("furrow-tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-        "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": str(folder / "warehouse")})
+        "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": str(folder / "warehouse"),
+        "spark.checkpoint.dir": str(folder / "checkpoints")})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
