@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.session import cut_lineage
+
+
+def _held_out(own: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Means over all folds but one, from sums (fold, by..., s, n)."""
+    spread = own.select(*by, "s", "n", F.col("fold").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    return (spread.where("own <> fold").groupBy("fold", *by)
+            .agg((F.sum("s") / F.nullif(F.sum("n").cast("double"), F.lit(0.0))).alias("mean")))
+
+
+def training_sums(df: DataFrame, target: str, by: list[str]) -> DataFrame:
+    return df.where("kept").groupBy("fold", *by).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+
 
 def training_means(df: DataFrame, k: int, target: str, by: list[str]) -> DataFrame:
     """(fold, by..., mean) of the kept training rows outside each fold; ``df`` has fold, kept, target.
 
     The rows are summed once per (fold, by); the k-fold expansion happens on those sums.
     """
-    own = (df.where("kept").groupBy("fold", *by)
-           .agg(F.sum(target).alias("s"), F.count(target).alias("n")))
-    held_out = own.select(*by, "s", "n", F.col("fold").alias("own"),
-                          F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")).where("own <> fold")
-    return (held_out.groupBy("fold", *by)
-            .agg((F.sum("s") / F.nullif(F.sum("n").cast("double"), F.lit(0.0))).alias("mean")))
+    return _held_out(training_sums(df, target, by), k, by)
 
 
 def predict_mean(df: DataFrame, k: int, target: str, fold: str = "fold") -> DataFrame:
@@ -27,8 +35,9 @@ def predict_mean(df: DataFrame, k: int, target: str, fold: str = "fold") -> Data
 
 def predict_env_mean(df: DataFrame, k: int, target: str, env: str = "env_type") -> DataFrame:
     """Prediction = training mean of the row's environment, the global mean for an unseen environment."""
-    overall = training_means(df, k, target, []).withColumnRenamed("mean", "__overall")
-    by_env = (training_means(df, k, target, [env])
+    sums = cut_lineage(training_sums(df, target, [env]))  # a row for each fold and environment; both means come from it
+    overall = _held_out(sums, k, []).withColumnRenamed("mean", "__overall")
+    by_env = (_held_out(sums, k, [env])
               .select("fold", F.col(env).alias("__env"), F.col("mean").alias("__env_mean")))
     return (df.join(F.broadcast(overall), "fold", "left")  # at most k rows
             .join(by_env, (df["fold"] == by_env["fold"]) & df[env].eqNullSafe(F.col("__env")), "left")

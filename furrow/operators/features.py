@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -194,29 +195,42 @@ def held_out_scaling(df: DataFrame, columns: list[str], k: int) -> DataFrame:
             .withColumns(scaled).drop(*[f"{p}_{c}" for c in columns for p in ("mean", "std")]))
 
 
+def _least_squares(df: DataFrame, inputs: list[str], label: str, centres: dict[str, float]) -> tuple[list[float], float]:
+    """Coefficients and intercept of a regression, from one aggregation; the centres only keep the sums small."""
+    names = [*inputs, label]
+    shifted = [F.col(c) - F.lit(float(centres[c])) for c in names]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    row = df.agg(F.count("*"), *[F.sum(x) for x in shifted], *[F.sum(shifted[i] * shifted[j]) for i, j in pairs]).first()
+    n, sums, products = row[0], np.array(row[1:1 + len(names)], dtype=float), row[1 + len(names):]
+    spread = np.zeros((len(names), len(names)))
+    for (i, j), value in zip(pairs, products, strict=True):
+        spread[i, j] = spread[j, i] = value - sums[i] * sums[j] / n
+    weights = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=1e-12)[0]
+    means = sums / n + [centres[c] for c in names]
+    return [float(w) for w in weights], float(means[-1] - weights @ means[:-1])
+
+
 def iterative_impute(train: DataFrame, others: list[DataFrame], columns: list[str], rounds: int = 10,
                      tolerance: float = 1e-3) -> tuple[DataFrame, list[DataFrame]]:
     """Fill missing values by regressing each column on the others, in rounds, starting from the medians.
 
-    Every regression is one distributed least-squares fit over the training rows that have the column. The order is
+    Every regression is one aggregation (sums of products) over the training rows that have the column. The order is
     fewest missing first; a round ends early when no filled value moved more than the tolerance times the largest value.
     ``others`` are filled with the same sequence of coefficients.
     """
-    from pyspark.ml.regression import LinearRegression
-
     stats = full_statistics(train, columns)
     order = [c for c in sorted(columns, key=lambda c: stats[c].n_rows - stats[c].n)
              if 0 < stats[c].n < stats[c].n_rows]
     top = train.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in columns]).collect()[0]
     limit = tolerance * max((v for v in top if v is not None), default=0.0)
+    top_of = top.asDict()
 
     def start(df: DataFrame) -> DataFrame:
         return fill_values(missing_indicators(df, columns), stats, "median")
 
-    def updated(df: DataFrame, column: str, model) -> DataFrame:
+    def updated(df: DataFrame, column: str, model: tuple[list[float], float]) -> DataFrame:
         rest = [c for c in columns if c != column]
-        value = reduce(lambda a, b: a + b, [F.lit(float(w)) * F.col(c) for w, c in zip(model.coefficients, rest)],
-                       F.lit(float(model.intercept)))
+        value = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for w, c in zip(model[0], rest)], F.lit(model[1]))
         return df.withColumn(column, F.when(F.col(f"num_miss__{column}") == 1, value).otherwise(F.col(column)))
 
     current, filled = cut_lineage(start(train)), [start(d) for d in others]
@@ -225,10 +239,8 @@ def iterative_impute(train: DataFrame, others: list[DataFrame], columns: list[st
         moving = before
         for column in order:
             rest = [c for c in columns if c != column]
-            rows = VectorAssembler(inputCols=rest, outputCol="__x").transform(
-                moving.where(F.col(f"num_miss__{column}") == 0))
-            model = LinearRegression(featuresCol="__x", labelCol=column, solver="normal", regParam=1e-9,
-                                     elasticNetParam=0.0).fit(rows)
+            centres = {c: (top_of[c] or 0.0) / 2 for c in columns}
+            model = _least_squares(moving.where(F.col(f"num_miss__{column}") == 0), rest, column, centres)
             moving = updated(moving, column, model)
             filled = [updated(d, column, model) for d in filled]
         moving = cut_lineage(moving)

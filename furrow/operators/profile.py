@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,14 +140,52 @@ def threshold_counts(df: DataFrame, columns: list[str] = NUMERIC, above: float =
                          for c in columns])
 
 
+def _cross_products(columns: list[str], centres: list[float]):
+    """Per task: for every pair of columns the sums over the rows that have both, as masked matrix products."""
+    width = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))  # rows, x, x*x, x*y
+        low, high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centres
+            there = ~np.isnan(x)
+            filled, mask = np.where(there, x, 0.0), there.astype(float)
+            total += [mask.T @ mask, filled.T @ mask, (filled * filled).T @ mask, filled.T @ filled]
+            for j in range(width):
+                rows = there[:, j]
+                if rows.any():
+                    low[:, j] = np.fmin(low[:, j], np.fmin.reduce(np.where(there, x, np.inf)[rows]))
+                    high[:, j] = np.fmax(high[:, j], np.fmax.reduce(np.where(there, x, -np.inf)[rows]))
+        i, j = (g.ravel() for g in np.indices((width, width)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(t.ravel()) for t in (
+                *total, total[1].T, total[2].T, low, high, low.T, high.T))],
+            ["i", "j", "n", "sx", "sxx", "sxy", "sy", "syy", "low_x", "high_x", "low_y", "high_y"])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] = NUMERIC + [TARGET]) -> DataFrame:
-    """Pairwise-complete Pearson correlations in one aggregation; both triangles and the diagonal."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-                  *[F.when(F.min(c) < F.max(c), F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(columns)])
-    cells = [(a, b, f"r{i}") for i, (a, b) in enumerate(pairs)]
-    cells += [(b, a, name) for a, b, name in cells] + [(c, c, f"d{i}") for i, c in enumerate(columns)]
-    return _stack(wide, [{"x": F.lit(a), "y": F.lit(b), "r": F.col(name)} for a, b, name in cells])
+    """Pairwise-complete Pearson correlations; both triangles and the diagonal.
+
+    One pass for the means, which only keep the sums small, and one for masked matrix products: a task gives one row for each
+    pair of columns, whatever its size.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    means = numbers.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    sums = ["n", "sx", "sxx", "sxy", "sy", "syy"]
+    kinds = ", ".join(f"{c} double" for c in (*sums, "low_x", "high_x", "low_y", "high_y"))
+    parts = numbers.mapInArrow(_cross_products(columns, [0.0 if m is None else m for m in means]), f"i int, j int, {kinds}")
+    cells = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in ("low_x", "low_y")],
+                                        *[F.max(c).alias(c) for c in ("high_x", "high_y")])
+    n = F.nullif("n", F.lit(0.0))
+    spread = F.sqrt(F.col("sxx") - F.col("sx") * F.col("sx") / n) * F.sqrt(F.col("syy") - F.col("sy") * F.col("sy") / n)
+    varied = (F.col("low_x") < F.col("high_x")) & (F.col("low_y") < F.col("high_y"))
+    r = F.when(varied & (F.col("i") == F.col("j")), F.lit(1.0)).when(
+        varied, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.nullif(spread, F.lit(0.0)))
+    names = F.array(*map(F.lit, columns))
+    return cells.select(names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), r.alias("r"))
 
 
 def target_correlations(df: DataFrame, columns: list[str] = NUMERIC, target: str = TARGET) -> DataFrame:

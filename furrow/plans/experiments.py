@@ -21,7 +21,7 @@ from furrow.operators.features import (
 )
 from furrow.operators.headers import require_columns
 from furrow.operators.knn import knn_impute
-from furrow.operators.models import PROFILE_OF, FittedModel, ModelSpec, fit_model
+from furrow.operators.models import FittedModel, ModelSpec, fit_model
 from furrow.schema import CATEGORICAL, ENV, GROUP, KEYS, NUMERIC, TARGET
 from furrow.session import cut_lineage
 
@@ -163,12 +163,10 @@ def _fit_fold(train: DataFrame, test: DataFrame, stats: dict, specs: list[ModelS
         used = "native_missing" if policy.native_missing else profile
         stages = preprocessor(used, roles.numeric, roles.categorical, stats, impute, policy.indicators).fit(train)
         columns = ["row_no", "features", F.col(roles.target).alias("label")]
-        encoded = stages.transform(train).select(*columns).persist()
+        encoded = cut_lineage(stages.transform(train).select(*columns))
         for spec in (s for s in specs if s.profile == profile):
             model = fit_model(spec, encoded)
             frames.append(_predictions(model.predict(stages.transform(test)), spec.key, roles))
-        if not any(PROFILE_OF[s.name] == profile and s.name == "knn" for s in specs):
-            encoded.unpersist()
     return frames
 
 
@@ -398,7 +396,7 @@ def permuted_contributions(trained: TrainedModel, roles: Roles = Roles(), seed:
         return trained.model.predict(trained.stages.transform(df)).withColumnRenamed("y_pred", name).select(
             "row_no", "env_label", name, *[f"__other_{c}" for c in features], *features)
 
-    base = predicted(paired, "__base")
+    base = cut_lineage(predicted(paired, "__base"))
     parts = []
     for c in features:
         own = [x for x in base.columns if x != c]
@@ -409,7 +407,7 @@ def permuted_contributions(trained: TrainedModel, roles: Roles = Roles(), seed:
     return evaluation.union_folds(parts)
 
 
-def feature_attribution(df: DataFrame, spec: ModelSpec = MODEL_SPECS[2], roles: Roles = Roles()) -> dict[str, DataFrame]:
+def feature_attribution(df: DataFrame, spec: ModelSpec = ModelSpec("xgb", TUNED_BOOSTER), roles: Roles = Roles()) -> dict[str, DataFrame]:
     """Importance overall and per environment, the side-by-side table and the rank agreement."""
     trained = fit_all(prepare(df, roles), spec, roles)
     linear = hasattr(trained.model.native, "coefficients") and spec.name == "ridge"

@@ -78,7 +78,7 @@ def test_too_few_groups(spark):
 
 def test_leakage_is_an_error(spark):
     df = spark.createDataFrame([("a",), ("b",)], "g string")
-    with pytest.raises(AssertionError, match="variety overlap"):
+    with pytest.raises(AssertionError, match="both the fitted and the tested"):
         folds.assert_no_leakage(df, df.where("g = 'a'"), "g")
     folds.assert_no_leakage(df.where("g = 'b'"), df.where("g = 'a'"), "g")
 

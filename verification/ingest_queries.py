@@ -14,10 +14,12 @@ from furrow.operators.validate import validate
 from furrow.schema import MERGE_KEY, NUMERIC, drop_columns
 from furrow.sources import tables
 from furrow.sources.drops import scan_drop
-from furrow.sources.files import discover
-from furrow.sources.versioned import VersionedStore, schema_change_report, schema_changes
+from furrow.sources.files import archive, discover, rename
+from furrow.sources.versioned import (
+    SchemaContractError, VersionedStore, fit_contract, schema_change_report, schema_changes,
+)
 from furrow.streaming.folder import stream_folder
-from verification.registry import assemble, current, known, mart, query, scratch
+from verification.registry import ORACLES, assemble, current, known, mart, query, scratch
 
 # ---- headers
 
@@ -250,6 +252,28 @@ def scan_one_drop(spark, sf_dir):
     return scanned.select("o_orderkey", "o_totalprice", F.col("o_orderkey").isNotNull().alias("has_key"))
 
 
+def _as_drops(spark, rows, names: list[str]) -> str:
+    """Rows as CSV drop files with the given names, in a new folder."""
+    work = scratch(spark)
+    rows.repartition(len(names)).write.option("header", True).option("escape", '"').csv(f"{work}/written")
+    for part, name in zip(discover(spark, f"{work}/written", [".csv"]), names):
+        rename(spark, part, f"{work}/incoming/{name}")
+    return work
+
+
+@query("S2_scan_csv_with_line_breaks",
+       "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('first', chr(10), 'a \"b\" ', o_orderkey) "
+       "ELSE concat('plain ', o_orderkey) END AS note FROM orders")
+def scan_csv(spark, sf_dir):
+    """Every third cell has a quoted line break."""
+    key = F.col("o_orderkey")
+    rows = fixtures.table(spark, sf_dir, "orders").select(key, F.when(key % 3 == 0, F.concat(F.lit('first\na "b" '), key)).otherwise(
+        F.concat(F.lit("plain "), key)).alias("note"))
+    work = _as_drops(spark, rows, ["a.csv", "b.Csv", "c.CSV"])
+    parts = [scan_drop(spark, path).data.select("o_orderkey", "note") for path in discover(spark, f"{work}/incoming", [".csv"])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("S3_row_lineage",
        "SELECT 'lineitem.parquet' AS source_file, count(*) AS n_rows, CAST(2 AS BIGINT) AS first_row, "
        "count(*) + 1 AS last_row, count(*) AS distinct_rows FROM lineitem")
@@ -279,6 +303,43 @@ def folder_ingest(spark, sf_dir):
     return history.select("n_valid", store.quarantine().agg(F.count("*").alias("n")).scalar().alias("n_rejected"))
 
 
+@query("S4_lookalike_names", ORACLES["S4_folder_ingest"])
+def lookalike_names(spark, sf_dir):
+    """Names that differ in punctuation and case of the suffix only: every file is a load of its own."""
+    rows = fixtures.dirty(spark, sf_dir).drop("source_file", "source_row")
+    work = _as_drops(spark, rows, ["trial 1.csv", "trial_1.csv", "trial-1.CSV"])
+    store = VersionedStore(spark, f"{work}/store")
+    outcomes = stream_folder(store, f"{work}/incoming", f"{work}/archive", f"{work}/stream", "2024-03-01 00:00:00")
+    failed = [o.error for o in outcomes if o.status != "loaded"]
+    if failed:
+        raise RuntimeError(failed[0])
+    history = store.history().agg(F.count("*").alias("n_valid"))
+    return history.select("n_valid", store.quarantine().agg(F.count("*").alias("n")).scalar().alias("n_rejected"))
+
+
+@query("S5_archive_clash", "SELECT 1 AS n_named, count(*) AS n_rows FROM orders UNION ALL SELECT 0, count(*) FROM supplier")
+def archive_clash(spark, sf_dir):
+    """Two files of one name: the second gets a suffix, nothing is overwritten."""
+    work, out = scratch(spark), []
+    for name in ("orders", "supplier"):
+        fixtures.table(spark, sf_dir, name).coalesce(1).write.parquet(f"{work}/{name}")
+        part = discover(spark, f"{work}/{name}", [".parquet"])[0]
+        rename(spark, part, f"{work}/incoming/drop.parquet")
+        path = archive(spark, f"{work}/incoming/drop.parquet", f"{work}/archive")
+        out.append(spark.read.parquet(path).agg(F.count("*").alias("n_rows")).select(
+            F.lit(int(path.endswith("/drop.parquet"))).alias("n_named"), "n_rows"))
+    return out[0].unionByName(out[1])
+
+
+@query("C8_utc_text_and_suffix",
+       "SELECT e_id, strftime(moment, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS utc_text, strftime(moment, '%Y%m%d_%H%M%S') AS suffix FROM "
+       "(SELECT o_orderkey AS e_id, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS moment FROM orders)")
+def utc_text(spark, sf_dir):
+    at = F.expr("CAST(o_orderdate AS TIMESTAMP) + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
+    return fixtures.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("e_id"), tables.utc_text(at).alias("utc_text"), F.date_format(at, tables.SUFFIX).alias("suffix"))
+
+
 @query("S6_quarantine_append",
        assemble("SELECT raw_plot AS plot, CAST(source_row AS BIGINT) AS source_row, source_file, error_message, "
                 "'load-1' AS load_id FROM checked WHERE error_message <> ''", ["dirty"], extra=CHECKED))
@@ -360,24 +421,58 @@ def versioned_store(spark, sf_dir):
     return _versions(store.history())
 
 
-@query("S8_schema_contract",
-       assemble("SELECT plot, finalyield, NULL::DOUBLE AS extra_trait FROM trials "
-                "UNION ALL SELECT plot, finalyield, ffscab + 1 AS extra_trait FROM snapshot", ["trials", "snapshot"],
-                ["finalyield", "extra_trait"]))
-def schema_contract(spark, sf_dir):
-    """A column added by the second delivery is NULL in the first."""
-    first = fixtures.trials(spark, sf_dir).select("plot", "finalyield")
-    second = fixtures.snapshot(spark, sf_dir).select("plot", "finalyield", (F.col("ffscab") + 1).alias("extra_trait"))
-    return first.unionByName(second, allowMissingColumns=True)
+@query("S7_value_returns",
+       assemble(f"SELECT {_KEY}, o_a_score FROM (SELECT DISTINCT {', '.join(fixtures.BUSINESS)} FROM trials WHERE o_a_score IS NOT NULL)",
+                ["trials"], ["o_a_score"]))
+def value_returns(spark, sf_dir):
+    """Three deliveries under one boundary, the third like the first: its rows are the active ones."""
+    store = VersionedStore(spark, f"{scratch(spark)}/store")
+    rows = fixtures.trials(spark, sf_dir).where("o_a_score IS NOT NULL").withColumns(
+        {"source_file": F.lit("a.csv"), "source_row": (F.col("plot") % 1000 + 2).cast("long")})
+    nothing = rows.where(F.lit(False)).select("source_file", "source_row", F.lit("").alias("error_message"))
+    for k, shift in enumerate((0, 100, 0)):
+        store.load(rows.withColumn("o_a_score", F.col("o_a_score") + shift), nothing, f"load-{k}", "2024-01-01 00:00:00")
+    return store.history().where("valid_to IS NULL").select(*MERGE_KEY, "o_a_score")
 
 
-@query("S9_schema_changes")
+@query("S8_schema_contract",
+       assemble("SELECT plot, finalyield, o_a_score, NULL::DOUBLE AS extra_trait FROM trials "
+                "UNION ALL SELECT plot, finalyield, NULL::DOUBLE, ffscab + 1 AS extra_trait FROM snapshot", ["trials", "snapshot"],
+                ["finalyield", "o_a_score", "extra_trait"]))
+def schema_contract(spark, sf_dir):
+    """The second delivery adds a column, has one that is empty throughout, and one that is empty and unknown."""
+    first = fixtures.trials(spark, sf_dir).select("plot", "finalyield", "o_a_score")
+    second = fixtures.snapshot(spark, sf_dir).select("plot", "finalyield", F.lit(None).alias("o_a_score"),
+                                                     (F.col("ffscab") + 1).alias("extra_trait"), F.lit(None).alias("never_filled"))
+    return first.unionByName(fit_contract(second, first.schema), allowMissingColumns=True)
+
+
+@query("S8_type_conflict",
+       "SELECT 'l_quantity: string -> double' AS conflict, count(*) AS n_rows FROM lineitem")
+def type_conflict(spark, sf_dir):
+    """A delivery whose known column has another type is refused, with the reason."""
+    rows = fixtures.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("l_quantity"))
+    known_schema = rows.withColumn("l_quantity", F.col("l_quantity").cast("string")).schema
+    try:
+        fit_contract(rows, known_schema)
+        reason = None
+    except SchemaContractError as refused:
+        reason = str(refused)
+    return rows.agg(F.lit(reason).alias("conflict"), F.count("*").alias("n_rows")).select("conflict", "n_rows")
+
+
+@query("S9_schema_changes",
+       "SELECT 'l_quantity' AS \"column\", 'type' AS change, 'string' AS old_type, 'double' AS new_type, count(l_quantity) AS n_filled FROM lineitem "
+       "UNION ALL SELECT 'l_tax', 'added', NULL, 'double', count(l_tax) FROM lineitem")
 def schema_change_rows(spark, sf_dir):
-    changes = schema_changes(fixtures.table(spark, sf_dir, "orders").schema, fixtures.table(spark, sf_dir, "lineitem").schema)
-    report = schema_change_report(spark, changes)
-    filled = fixtures.table(spark, sf_dir, "lineitem").agg(
-        *[F.count(c).alias(c) for c, *_ in changes]).unpivot([], [c for c, *_ in changes], "column", "n_filled")
-    return report.join(filled, "column")
+    """A type change, an added column, a column that left and one without any value."""
+    items = fixtures.table(spark, sf_dir, "lineitem")
+    old = items.select("l_orderkey", F.col("l_quantity").cast("string").alias("l_quantity"), "l_shipdate")
+    new = items.select("l_orderkey", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_tax").cast("double").alias("l_tax"),
+                       F.lit(None).alias("l_empty"))
+    changes = schema_changes(old.schema, new.schema)
+    filled = new.agg(*[F.count(c).alias(c) for c, *_ in changes]).unpivot([], [c for c, *_ in changes], "column", "n_filled")
+    return schema_change_report(spark, changes).join(filled, "column")
 
 
 # ---- snapshots and results
@@ -413,7 +508,8 @@ def child_runs(spark, sf_dir):
     return tables.read_results(spark, root, "bands", "summary", "parent-1").select("run", "n", "mean_score").where("n > 0")
 
 
-@query("S16_result_sinks")
+@query("S16_result_sinks",
+       assemble("SELECT env_type, count(*) AS n, form FROM mart, (SELECT unnest(['csv', 'json']) AS form) GROUP BY env_type, form", ["mart"]))
 def result_sinks(spark, sf_dir):
     """The same result as CSV and JSON, read back."""
     root = f"{scratch(spark)}/results"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from furrow import fixtures
@@ -130,6 +132,14 @@ def view_and_table(spark, sf_dir):
                      "WHERE o_a_score IS NOT NULL AND env_type IN ('MED', 'NE') GROUP BY env_type")
 
 
+@query("S15_materialised_table", assemble("SELECT plot, year, env_type, o_a_score, yield FROM mart", ["mart"], ["o_a_score", "yield"]))
+def materialised_table(spark, sf_dir):
+    """The mart as a managed table, written twice, read by name."""
+    for _ in range(2):
+        name = tables.materialise_table(mart(spark, sf_dir), "mart_" + uuid.uuid4().hex[:8])
+    return spark.table(name).select("plot", "year", "env_type", "o_a_score", "yield")
+
+
 # ---- data checks
 
 @query("A1_distinct_key_reconciliation",

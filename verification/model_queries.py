@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from furrow import fixtures
@@ -10,6 +12,7 @@ from furrow.operators import baselines, features, folds, knn
 from furrow.operators.models import ModelSpec, fit_model
 from furrow.operators.profile import with_missing_band
 from furrow.schema import CATEGORICAL, NUMERIC
+from furrow.session import cut_lineage
 from verification.evaluation_queries import fold_ctes
 from verification.registry import assemble, known, mart, query
 
@@ -21,7 +24,7 @@ BASE = {**fold_ctes("banded", 5), "b": "SELECT *, f <= 0.5 AND o_a_score IS NOT
 
 def folded(spark, sf_dir):
     rows = folds.group_kfold(with_missing_band(known(spark, sf_dir)), "name1", 5)
-    return rows.withColumn("kept", (F.col("missing_frac") <= 0.5) & F.col("o_a_score").isNotNull())
+    return cut_lineage(rows.withColumn("kept", (F.col("missing_frac") <= 0.5) & F.col("o_a_score").isNotNull()))
 
 
 @query("M11_baseline_mean",
@@ -92,7 +95,23 @@ def one_hot(spark, sf_dir):
     return fitted.transform(rows).select("plot", "trial_type", slots[0].alias("slot_process"), slots[1].alias("slot_unknown"))
 
 
-@query("M9_profile_features")
+def _cells(text: str, joiner: str = ", ") -> str:
+    return joiner.join(text.format(c=c) for c in NUMERIC)
+
+
+_FEATURE_CTES = {
+    "md": f"SELECT {_cells('quantile_cont({c}, 0.5) AS {c}')} FROM mart",
+    "imp": f"SELECT m.plot, m.year, {_cells('coalesce(m.{c}, md.{c}) AS {c}')}, {_cells('(m.{c} IS NULL)::INT', ' + ')} AS gaps FROM mart m, md",
+    "sc": f"SELECT {_cells('avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}')} FROM imp",
+    "raw": f"SELECT {_cells('avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}')} FROM mart",
+    "wide": "SELECT CAST(22 + count(DISTINCT env_type) + count(DISTINCT trial_type) + count(DISTINCT soil_type) AS INT) AS width FROM mart",
+}
+_FILLED = f"SELECT plot, '{{0}}' AS profile, width, {_cells('(i.{c} - m_{c}) / d_{c}', ' + ')} + gaps + 3 AS total FROM imp i, sc, wide"
+_OPEN = (f"SELECT plot, 'booster' AS profile, width, {_cells('coalesce((m.{c} - m_{c}) / d_{c}, -1e6)', ' + ')} + "
+         f"{_cells('(m.{c} IS NULL)::INT', ' + ')} + 3 AS total FROM mart m, raw, wide")
+
+
+@query("M9_profile_features", assemble(f"{_FILLED.format('linear')} UNION ALL {_FILLED.format('tree')} UNION ALL {_OPEN}", ["mart"], ["total"], _FEATURE_CTES))
 def profile_features(spark, sf_dir):
     """Vector width and sum per profile over the whole mart."""
     rows = mart(spark, sf_dir)
@@ -106,7 +125,8 @@ def profile_features(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("M10_native_missing_features")
+@query("M10_native_missing_features",
+       assemble(f"SELECT plot, CAST({_cells('({c} IS NULL)::INT', ' + ')} AS INT) AS n_sentinel FROM mart", ["mart"]))
 def native_missing(spark, sf_dir):
     rows = mart(spark, sf_dir)
     fitted = features.preprocessor("native_missing", NUMERIC, CATEGORICAL, features.full_statistics(rows, NUMERIC)).fit(rows)
@@ -156,11 +176,30 @@ def knn_imputation(spark, sf_dir):
     return knn.knn_impute(rows, rows, columns, 15, "vec_id", "vec_id")
 
 
-@query("M6_iterative_imputation")
+@query("M6_two_columns_one_round",
+       assemble("SELECT plot, coalesce(appearance, i1 + s1 * t0) AS appearance, coalesce(tubersize, i2 + s2 * a1) AS tubersize FROM a, r2", ["mart"],
+                ["appearance", "tubersize"],
+                {"md": "SELECT quantile_cont(tubersize, 0.5) AS mt FROM mart",
+                 "t": "SELECT plot, appearance, tubersize, coalesce(tubersize, mt) AS t0 FROM mart, md",
+                 "r1": "SELECT regr_slope(appearance, t0) AS s1, regr_intercept(appearance, t0) AS i1 FROM t",
+                 "a": "SELECT *, coalesce(appearance, i1 + s1 * t0) AS a1 FROM t, r1",
+                 "r2": "SELECT regr_slope(tubersize, a1) AS s2, regr_intercept(tubersize, a1) AS i2 FROM a"}))
+def two_columns_one_round(spark, sf_dir):
+    rows = mart(spark, sf_dir).select("plot", "appearance", "tubersize")
+    return features.iterative_impute(rows, [], ["appearance", "tubersize"], rounds=1)[0]
+
+
+@query("M6_iterative_imputation",
+       assemble(f"SELECT count(*) AS n_rows, {_cells('count({c})', ' + ')} AS n_given, TRUE AS all_filled FROM mart", ["mart"]))
 def iterative_imputation(spark, sf_dir):
-    columns = ["appearance", "tubersize", "eveness", "yield"]
-    rows = mart(spark, sf_dir).select("plot", *columns)
-    return features.iterative_impute(rows, [], columns, rounds=3)[0]
+    """All columns, all rounds: given values stay, every gap is filled."""
+    rows = mart(spark, sf_dir).select("plot", "year", *NUMERIC)
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    filled = features.iterative_impute(rows.select("row", *NUMERIC), [], NUMERIC)[0]
+    both = rows.select("row", *[F.col(c).alias(f"old_{c}") for c in NUMERIC]).join(filled, "row")
+    kept = reduce(lambda a, b: a + b, [F.count_if(F.col(c) == F.col(f"old_{c}")) for c in NUMERIC])
+    gaps = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in NUMERIC])
+    return both.agg(F.count("*").alias("n_rows"), kept.alias("n_given"), (gaps == 0).alias("all_filled"))
 
 
 # ---- model families: fitted on the whole mart, error on the same rows
@@ -173,13 +212,35 @@ def _fit_error(spark, sf_dir, spec: ModelSpec):
     return fit_model(spec, encoded).predict(encoded).select("plot", F.col("label").alias("y_true"), "y_pred")
 
 
+def fit_summary(predictions):
+    """One row that any seed gives: all rows scored, and the error below that of the constant predictor."""
+    error = F.avg(F.pow(F.col("y_pred") - F.col("y_true"), F.lit(2)))
+    return predictions.agg(F.count("*").alias("n_rows"), F.count("y_pred").alias("n_scored"),
+                           (error < F.var_pop("y_true")).alias("beats_constant"))
+
+
+FIT_SQL = assemble("SELECT count(*) AS n_rows, count(*) AS n_scored, TRUE AS beats_constant FROM mart", ["mart"])
 FAMILIES = {
     "M13_ridge_regression": ModelSpec("ridge", {"alpha": 1.0}),
-    "M14_random_forest": ModelSpec("rf", {"n_estimators": 10, "max_depth": 6}),
-    "M16_kernel_regression": ModelSpec("svr", {"C": 1.0, "epsilon": 0.1, "n_components": 64, "max_iter": 20}),
-    "M17_boosted_trees": ModelSpec("xgb", {"rounds": 8, "learning_rate": 0.3, "max_depth": 4}),
+    "M14_random_forest": ModelSpec("rf", {"n_estimators": 100}),
+    "M16_kernel_regression": ModelSpec("svr", {"C": 1.0}),
+    "M17_boosted_trees": ModelSpec("xgb", {"learning_rate": 0.3}),
 }
 for _name, _spec in FAMILIES.items():
-    @query(_name)
+    @query(_name, FIT_SQL)
     def family(spark, sf_dir, spec=_spec):
-        return _fit_error(spark, sf_dir, spec)
+        return fit_summary(_fit_error(spark, sf_dir, spec))
+
+
+@query("M13_ridge_closed_form",
+       assemble("SELECT plot, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS y_pred FROM t, mm, bb", ["mart"], ["y_pred"],
+                {"t": "SELECT plot, appearance AS x1, tubersize AS x2, o_a_score AS y FROM mart WHERE appearance IS NOT NULL AND tubersize IS NOT NULL",
+                 "mm": "SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM t",
+                 "ss": "SELECT sum((x1 - m1) * (x1 - m1)) + 5 AS s11, sum((x2 - m2) * (x2 - m2)) + 5 AS s22, sum((x1 - m1) * (x2 - m2)) AS s12, "
+                       "sum((x1 - m1) * (y - my)) AS c1, sum((x2 - m2) * (y - my)) AS c2 FROM t, mm",
+                 "bb": "SELECT (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS b1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM ss"}))
+def ridge_closed_form(spark, sf_dir):
+    """Two features and a penalty of 5, solved by Cramer's rule in SQL."""
+    rows = mart(spark, sf_dir).where("appearance IS NOT NULL AND tubersize IS NOT NULL").withColumn("row_no", F.monotonically_increasing_id())
+    data = rows.select("plot", "row_no", array_to_vector(F.array("appearance", "tubersize")).alias("features"), F.col("o_a_score").alias("label"))
+    return fit_model(ModelSpec("ridge", {"alpha": 5.0}), data).predict(data).select("plot", "y_pred")
