@@ -4,7 +4,7 @@ A rolling hash over the last seven bytes ends a chunk where it meets a condition
 one of 64 letters. The block size is the smallest ``3 * 2**k`` that promises at most 64 chunks, halved until there are at least
 32 (or it is 3). A fingerprint is ``block size:letters:letters at twice the block size``. An edit changes the letters of the
 chunks it touches only. Two fingerprints are compared at a block size that both have, by edit distance (insert and delete 1,
-replace 2) over their letters with runs of one letter cut to three; they need a common run of four letters (or are short).
+replace 2) over their letters with runs of one letter cut to three; they need a common run of four letters (half of a short one).
 
 Everything up to the letters is NumPy over the bytes; the edit distance is bit-parallel, one step for each letter.
 """
@@ -83,7 +83,7 @@ def _near(a: str, b: str) -> float:
     a, b = _short_runs(a), _short_runs(b)
     if not a or not b:
         return float(a == b)
-    run = min(COMMON, len(a), len(b))
+    run = min(COMMON, max(1, min(len(a), len(b)) // 2))
     grams = {a[k:k + run] for k in range(len(a) - run + 1)}
     if not any(b[k:k + run] in grams for k in range(len(b) - run + 1)):
         return 0.0
