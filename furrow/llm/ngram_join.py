@@ -3,9 +3,11 @@
 A document's set is its distinct ``n``-word shingles of the lower-cased text (A-Z only), as 64-bit hashes; a document of fewer
 words has its whole sequence as one shingle. Two documents link when ``100 * |A & B| >= percent * |A | B|``.
 
-Plan: (1) one pass hashes the sets. Equal sets (128-bit key) are one node from here on, so copies cost nothing. (2) Two sets that
-link share a token among the least ``n - ceil(t n) + 1`` of each in hash order. A token that two nodes of fitting sizes have
-makes a bucket. (3) In a bucket a signature tree is built: its nodes hold OR-combined bitmaps and size ranges, and a dual
+Plan: (1) one pass counts tokens within each task and keeps those that many documents have; they come last in the order of
+tokens, which is by hash otherwise. The order only spares work: any order that all documents follow gives the same links. A second
+pass hashes the sets. Equal sets (128-bit key) are one node from here on, so copies cost nothing. (2) Two sets that link share a
+token among the first ``n - ceil(t n) + 1`` of each in this order. A token that two nodes of fitting sizes have makes a bucket;
+tokens of the same nodes make one. (3) In a bucket a signature tree is built: its nodes hold OR-combined bitmaps and size ranges, and a dual
 traversal leaves out node pairs whose largest possible overlap is too small, and those already connected. What survives
 connects nodes to *clusters* that contain whole components. (4) Only members of clusters are hashed again; each cluster is
 joined exactly by the same traversal, with the true overlap at the leaves. A bucket or cluster above a size limit is split into
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import NO_ID, Membership, components, keyed
 from furrow.llm.words import Words, blocks, mix
-from furrow.session import counted_cut, cut_lineage
+from furrow.session import counted_cut, cut_lineage, owned_cuts
 
 FAN = 8
 
@@ -78,8 +80,28 @@ def bitmap(tokens: np.ndarray, bits: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def _describe(n: int, percent: int):
-    """Per row: set size, key, the least tokens and the bitmap."""
+def _repeated(n: int, least: int = 4, slice_tokens: int = 3_000_000):
+    """Tokens that at least ``least`` rows of a slice of the task have, with their number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            held.clear()
+            keep = count >= least
+            return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep])], ["token", "n"])
+
+        for batch in batches:
+            for block in blocks(batch.column("text"), lower=True):
+                held.append(token_sets(block, n)[1])
+                if sum(map(len, held)) > slice_tokens:
+                    yield flush()
+        yield flush()
+    return run
+
+
+def _describe(n: int, percent: int, often: Membership | None):
+    """Per row: set size, key, the first tokens (frequent ones last, else by hash) and the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
@@ -93,33 +115,45 @@ def _describe(n: int, percent: int):
                 keys[full] = _keys(token, begin)
                 low = np.zeros(block.rows, dtype=np.int64)
                 low[full] = count + (-percent * count) // 100 + 1
+                ordered = token if often is None else token[np.lexsort((token, often.has(token), row))]
                 pick = np.repeat(begin - np.append(0, np.cumsum(low[full])[:-1]), low[full]) + np.arange(low.sum())
                 maps = [bitmap(token[a:b], map_bits(b - a)) if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [own.column("rid"), own.column("sig"), pa.array(size.astype(np.int64)), _binary(keys),
-                     _lists(pa.array(token[pick].view(np.int64)), low), pa.array(maps, pa.binary())],
+                     _lists(pa.array(ordered[pick].view(np.int64)), low), pa.array(maps, pa.binary())],
                     ["rid", "sig", "size", "key", "least", "map"])
     return run
 
 
-def _shared(percent: int):
-    """Of rows ordered by token, size and key: those whose neighbour has the token, a fitting size and another key."""
-    def select(part: pa.Table) -> pa.RecordBatch:
-        part = part.combine_chunks()
+def _shared(percent: int, most: int = 200_000):
+    """Of rows ordered by token, size and key: those whose neighbour has the token, a fitting size and another key.
+
+    ``bucket`` is a hash of the keys that are left of a token, so tokens of the same rows (near copies share most of theirs) make
+    one bucket. A token with more than ``most`` rows isn't held: its rows go on as they are, in a bucket of their own.
+    """
+    def out(part: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from part.select(["size", "key", "lead"]).add_column(0, "bucket", pa.array(bucket.view(np.int64))).combine_chunks().to_batches()
+
+    def select(part: pa.Table) -> Iterator[pa.RecordBatch]:
         token, size = part["token"].to_numpy(), part["size"].to_numpy()
-        key = np.array(part["key"].to_pylist(), dtype=object)
-        same = (token[1:] == token[:-1])
-        again = np.zeros(len(token), dtype=bool)
-        again[1:] = same & (key[1:] == key[:-1])
-        part, token, size = part.filter(pa.array(~again)), token[~again], size[~again]
-        fit = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        keep = np.zeros(len(token), dtype=bool)
+        key = np.frombuffer(b"".join(part["key"].to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        single = np.ones(len(token), dtype=bool)
+        single[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1]).any(axis=1)
+        at = np.flatnonzero(single)
+        fit = (token[at[1:]] == token[at[:-1]]) & (100 * size[at[:-1]] >= percent * size[at[1:]])
+        keep = np.zeros(len(at), dtype=bool)
         keep[1:] |= fit
         keep[:-1] |= fit
-        return part.filter(pa.array(keep)).combine_chunks().to_batches()
+        at = at[keep]
+        if len(at):
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = token[at[1:]] != token[at[:-1]]
+            begin = np.flatnonzero(new)
+            named = mix(np.add.reduceat(mix(key[at, 0], 31), begin), 32)
+            yield from out(part.take(pa.array(at)), named[np.cumsum(new) - 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, large = None, None
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
@@ -127,9 +161,17 @@ def _shared(percent: int):
             if not len(token):
                 continue
             cut = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
+            if large is not None:
+                more = int(np.searchsorted(token, large, side="right"))
+                yield from out(held.slice(0, more), mix(token[:more].view(np.uint64), 33))
+                held, cut, large = held.slice(more), max(0, cut - more), large if more == len(token) else None
             if cut:
                 yield from select(held.slice(0, cut))
                 held = held.slice(cut)
+            if held.num_rows > most:
+                large = int(token[-1])
+                yield from out(held, mix(held["token"].to_numpy().view(np.uint64), 33))
+                held = held.slice(held.num_rows)
         if held is not None and held.num_rows:
             yield from select(held)
     return run
@@ -250,7 +292,7 @@ def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 def _coarse(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[bytes, bytes]] = set()
-        for group in _groups(batches, ["token", "i", "j", "lead", "size", "key", "map"], 3):
+        for group in _groups(batches, ["bucket", "i", "j", "lead", "size", "key", "map"], 3):
             items = [(size, 8 * len(bits), int.from_bytes(bits, "little")) for *_, size, _, bits in group]
             for a, b in SignatureTree(items, percent).links:
                 found.add((group[a][5], group[b][5]))
@@ -317,7 +359,7 @@ def _members(n: int, wanted: Membership):
     return run
 
 
-def _blocked(rows: DataFrame, by: list[str], share) -> DataFrame:
+def _blocked(rows: DataFrame, share) -> DataFrame:
     """Rows of a group in ``share`` blocks; (i, j) are the two blocks that meet. One block: (0, 0)."""
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))
@@ -325,33 +367,40 @@ def _blocked(rows: DataFrame, by: list[str], share) -> DataFrame:
     return one.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "parts")
 
 
-def _linked(rows: DataFrame, n: int, percent: int, bucket_rows: int, block_tokens: int) -> tuple[DataFrame, DataFrame | None]:
+def _linked(rows: DataFrame, n: int, percent: int, bucket_rows: int, block_tokens: int, often: int = 16) -> tuple[DataFrame, DataFrame | None]:
     """Rows (rid, sig, size, key) of ``keyed`` documents, and (key, component) of the sets that link with another one."""
-    described = cut_lineage(rows.mapInArrow(
-        _describe(n, percent), "rid long, sig long, size long, key binary, least array<long>, map binary"))
-    kept = described.where("size > 0")
-    tokens = kept.select(F.explode("least").alias("token"), "size", "key", F.col("least")[0].alias("lead"))
-    tokens = tokens.repartition("token").sortWithinPartitions("token", "size", "key")
-    shared = cut_lineage(tokens.mapInArrow(_shared(percent), "token long, size long, key binary, lead long"))
-    maps = kept.select("key", "map").groupBy("key").agg(F.first("map").alias("map"))
-    crowded = shared.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
-    buckets = shared.join(maps, "key").join(crowded, "token", "left")
-    buckets = _blocked(buckets, ["token"], F.ceil(F.coalesce("n", F.lit(1)) / bucket_rows))
-    buckets = buckets.select("token", "i", "j", "lead", "size", "key", "map").repartition("token", "i", "j").sortWithinPartitions(
-        "token", "i", "j", F.length("map"), "lead", "size", "key")
-    coarse = buckets.mapInArrow(_coarse(percent), "a binary, b binary")
-    clusters, many = counted_cut(components(coarse, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("cluster")))
+    with owned_cuts(rows.sparkSession):  # what only serves to find the clusters goes when they are found
+        frequent, many = counted_cut(rows.select("text").mapInArrow(_repeated(n), "token long, n long").groupBy("token")
+                                     .agg(F.sum("n").alias("n")).where(F.col("n") >= often))
+        last = Membership(frequent, "token", many, 1 << 26) if many else None
+        whole = cut_lineage(rows.mapInArrow(
+            _describe(n, percent, last), "rid long, sig long, size long, key binary, least array<long>, map binary"))
+        described = cut_lineage(whole.select("rid", "sig", "size", "key"), outlive=True)
+        kept = whole.where("size > 0")
+        tokens = kept.select(F.explode("least").alias("token"), "size", "key", F.col("least")[0].alias("lead"))
+        tokens = tokens.repartition("token").sortWithinPartitions("token", "size", "key")
+        shared = cut_lineage(tokens.mapInArrow(_shared(percent), "bucket long, size long, key binary, lead long").distinct())
+        maps = kept.select("key", "map").groupBy("key").agg(F.first("map").alias("map"))
+        crowded = shared.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
+        buckets = shared.join(maps, "key").join(crowded, "bucket", "left")
+        buckets = _blocked(buckets, F.ceil(F.coalesce("n", F.lit(1)) / bucket_rows))
+        buckets = buckets.select("bucket", "i", "j", "lead", "size", "key", "map").repartition("bucket", "i", "j").sortWithinPartitions(
+            "bucket", "i", "j", F.length("map"), "lead", "size", "key")
+        coarse = components(buckets.mapInArrow(_coarse(percent), "a binary, b binary"), "a", "b")
+        clusters, many = counted_cut(coarse.select(F.col("node").alias("key"), F.col("component").alias("cluster")), outlive=True)
     if not many:
         return described, None
     wanted = Membership(clusters.select(F.expr("CAST(conv(hex(substring(key, 1, 8)), 16, -10) AS BIGINT)").alias("k")), "k", many)
     sets = rows.select("text").mapInArrow(_members(n, wanted), "key binary, tokens array<long>")
-    placed = clusters.join(kept.groupBy("key").agg(F.first("size").alias("size")), "key")
+    sizes = described.where("size > 0").groupBy("key").agg(F.first("size").alias("size"))
+    placed = clusters.join(sizes, "key")
     total = placed.groupBy("cluster").agg(F.sum("size").alias("total"))
-    members = _blocked(sets.join(placed.join(total, "cluster"), "key"), ["cluster"], F.ceil(F.col("total") / block_tokens))
+    members = _blocked(sets.join(placed.join(total, "cluster"), "key"), F.ceil(F.col("total") / block_tokens))
     members = members.select("cluster", "i", "j", "key", "tokens").repartition("cluster", "i", "j").sortWithinPartitions(
         "cluster", "i", "j", F.ceil(F.log2(F.size("tokens"))), F.col("tokens")[0], F.size("tokens"), "key")
-    links = members.mapInArrow(_exact(percent), "a binary, b binary")
-    return described, components(links, "a", "b").withColumnRenamed("node", "key")
+    with owned_cuts(rows.sparkSession):
+        parts = cut_lineage(components(members.mapInArrow(_exact(percent), "a binary, b binary"), "a", "b"), outlive=True)
+    return described, parts.withColumnRenamed("node", "key")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85,

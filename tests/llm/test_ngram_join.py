@@ -5,8 +5,8 @@ import re
 
 import pytest
 
-from furrow.llm.common import components
-from furrow.llm.ngram_join import SignatureTree, map_bits, similar_components
+from furrow.llm.common import components, keyed
+from furrow.llm.ngram_join import SignatureTree, _linked, map_bits, similar_components
 
 SPLIT = re.compile("[\x20\x09-\x0d]+")
 
@@ -122,3 +122,46 @@ def test_registered_query(spark, sf_dir):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, QUERIES["op9_ngram_jaccard_join"](spark, sf_dir).collect()), key=str) == brute(rows, 4, 85)
+
+
+def test_frequent_tokens_come_last_without_loss(spark):
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        own = [f"{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 25))]
+        w = common[:rng.randrange(20, 41)] + own
+        rows.append((i, " ".join(w)))
+        if rng.random() < .2:
+            rows.append((1000 + i, " ".join([*w[:-1], "x"])))
+    rows += [(2000 + i, " ".join([*common, str(i)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for often in (1, 16, 10**9):
+        described, parts = _linked(keyed(docs, "doc_id", "text"), 4, 85, 4096, 4_000_000, often)
+        groups = {}
+        for r in described.join(parts, "key", "left").collect():
+            groups.setdefault(bytes(r.component or r.key), []).append(r.rid)
+        low = {i: min(g) for g in groups.values() for i in g}
+        assert sorted((i, low[i]) for i in low) == sorted((d, c) for d, _, c in brute(rows, 4, 85))
+
+
+def test_a_token_too_large_to_hold():
+    import numpy as np
+    import pyarrow as pa
+
+    from furrow.llm.ngram_join import _shared
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                                           pa.array([r[2].to_bytes(16) for r in rows], pa.binary()), pa.array([0] * len(rows), pa.int64())],
+                                          ["token", "size", "key", "lead"])
+
+    rows = [(1, 10, 1), (1, 10, 2), (2, 5, 3), (2, 50, 4)] + [(3, 10, k) for k in range(40)] + [(4, 10, 1), (4, 10, 2), (5, 7, 9)]
+    for step in (1, 3, 7, 100):
+        for most in (5, 1000):
+            got = [x for k in range(0, len(rows), step) for x in [batch(rows[k:k + step])]]
+            found = pa.Table.from_batches(list(_shared(85, most)(iter(got)))).to_pylist()
+            by = {}
+            for r in found:
+                by.setdefault(r["bucket"], set()).add(int.from_bytes(r["key"]))
+            assert sorted(map(len, by.values())) == [2, 40], (step, most)
