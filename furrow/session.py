@@ -57,21 +57,22 @@ def owned_cuts(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Write the frame to the shared checkpoint folder and read it back.
 
     The result survives lost executors, is computed once (an eager checkpoint computes twice), and its file size is known
     to the planner.
     """
-    return counted_cut(df)[0]
+    return counted_cut(df, outlive)[0]
 
 
-def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut_lineage`` with the row count, taken while writing."""
+def counted_cut(df: DataFrame, outlive: bool = False) -> tuple[DataFrame, int]:
+    """``cut_lineage`` with the row count, taken while writing. ``outlive``: the table belongs to the next outer scope."""
     spark, seen = df.sparkSession, Observation()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    if _OWNED:
-        _OWNED[-1].append(path)
+    owners = _OWNED[:-1] if outlive else _OWNED
+    if owners:
+        owners[-1].append(path)
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
