@@ -77,9 +77,15 @@ def test_spans_and_redaction(spark):
     assert {s.kind for r in only.collect() for s in r.spans} == {"hex"}
 
 
-def test_registered_query(spark, sf_dir):
+@pytest.mark.parametrize("own", [False, True])
+def test_registered_query(spark, sf_dir, own, tmp_path):
     from furrow.llm.queries import QUERIES
 
+    if own:
+        made = [(k, t) for k, (_, t) in enumerate(case()[:200])]
+        sf_dir = str(tmp_path)
+        spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{sf_dir}/documents.parquet")
+
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = QUERIES["op3_secret_scans"](spark, sf_dir).collect()
     assert len(got) == len(rows)
