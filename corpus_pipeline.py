@@ -12,14 +12,14 @@ from furrow.llm.bpe_trie import encode_documents
 from furrow.llm.common import table
 from furrow.llm.decontaminate import without_contaminated
 from furrow.llm.ngram_join import one_of_each
-from furrow.llm.quality import fit_quality, labelled_documents, score_quality
+from furrow.llm.quality import fit_quality, learnable, score_quality
 from furrow.llm.secrets import redact, scan_secrets
 from furrow.session import ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.5."""
-    model = fit_quality(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    model = fit_quality(docs, learnable(table(spark, sf_dir, "labels")))
     return score_quality(docs, model).where("score >= 0.5").select(*docs.columns)
 
 

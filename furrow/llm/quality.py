@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.session import cut_lineage
+
 _SMOOTH = 20  # bytes added to the size in the ratio, so that a few bytes' difference of a tiny text weighs little
 
 
@@ -104,22 +106,25 @@ def _fit(dictionary_bytes: int, level: int):
     return run
 
 
-def fit_quality(labelled: DataFrame, good_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+def fit_quality(docs: DataFrame, labels: DataFrame, good_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
                 dictionary_bytes: int = 2 << 20, dictionary_rows: int = 2000, calibration_rows: int = 6000, sample_chars: int = 16_000,
                 level: int = 6) -> CompressionModel:
-    """Fit on rows (id, text, label 0/1). Only texts of up to ``sample_chars`` enter the sample, always whole.
+    """Fit on documents (id, text) by labels (id, 0 or 1), one row for each id.
 
-    A third of the ids (by hash) is for the dictionaries, at most ``dictionary_rows`` of a class; the others calibrate.
+    A third of the ids (by hash) is for the dictionaries, at most ``dictionary_rows`` of a class; the others calibrate, at most
+    ``calibration_rows``. The ids are chosen from the labels, so only their texts leave the documents; those of more than
+    ``sample_chars`` are passed over, the others enter whole.
     """
-    spark = labelled.sparkSession
-    rows = labelled.where(F.col(good_col).isin(0, 1)).select(
-        (F.col(good_col) == 1).alias("good"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.xxhash64(id_col, F.lit(17)).alias("h")).where(F.length("text") <= sample_chars)
+    rows = labels.where(F.col(good_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), (F.col(good_col) == 1).alias("good"), F.xxhash64(id_col, F.lit(17)).alias("h"))
     part = F.pmod(F.xxhash64("h"), F.lit(3))
-    picked = [rows.where((part == 0) & (F.col("good") == side)).orderBy("h", "text").limit(dictionary_rows).withColumn("use", F.lit("dictionary"))
+    picked = [rows.where((part == 0) & (F.col("good") == side)).orderBy("h", "id").limit(dictionary_rows).withColumn("use", F.lit("dictionary"))
               for side in (True, False)]
-    picked.append(rows.where(part > 0).orderBy("h", "text").limit(calibration_rows).withColumn("use", F.lit("calibration")))
-    sample = picked[0].unionByName(picked[1]).unionByName(picked[2]).withColumn("one", F.lit(1))
+    picked.append(rows.where(part > 0).orderBy("h", "id").limit(calibration_rows).withColumn("use", F.lit("calibration")))
+    chosen = cut_lineage(picked[0].unionByName(picked[1]).unionByName(picked[2]))  # bounded by the three limits
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sample = texts.where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "id").select(
+        "use", "good", "h", "text", F.lit(1).alias("one"))
 
     def ordered(table: pa.Table) -> pa.Table:
         return fitted(table.sort_by([("use", "ascending"), ("h", "ascending"), ("text", "ascending")]))
@@ -153,7 +158,7 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """(doc_id, text, label) of labelled rows that are not held out; rows with contradicting labels of one id are left out."""
-    known = labels.where(~held_out()).groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("high")).where(F.col(label) == F.col("high"))
-    return docs.select("doc_id", "text").join(known.select("doc_id", label), "doc_id")
+def learnable(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(doc_id, label) of the labels that are not held out; ids with contradicting labels are left out."""
+    known = labels.where(~held_out()).groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("high"))
+    return known.where(F.col(label) == F.col("high")).select("doc_id", label)

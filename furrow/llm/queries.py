@@ -13,7 +13,7 @@ from furrow.llm.decontaminate import contaminated
 from furrow.llm.fingerprints import edited_likeness
 from furrow.llm.html_text import extract_pages
 from furrow.llm.ngram_join import similar_components
-from furrow.llm.quality import fit_quality, held_out, labelled_documents, score_quality
+from furrow.llm.quality import fit_quality, held_out, learnable, score_quality
 from furrow.llm.secrets import BASE, scan_secrets
 from furrow.llm.shards import shard_documents
 from furrow.llm.substring_dedup import remove_repeats
@@ -39,7 +39,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_quality(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    model = fit_quality(docs, learnable(table(spark, sf_dir, "labels")))
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -5,7 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from furrow.llm.ngram_join import one_of_each
-from furrow.llm.quality import fit_quality, labelled_documents
+from furrow.llm.quality import fit_quality, learnable
 from tests.llm import test_decontaminate, test_ngram_join, test_secrets
 
 
@@ -13,7 +13,7 @@ def test_same_as_brute_force(spark, sf_dir):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit_quality(labelled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fit_quality(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     score = model.scorer()
     rows = [r for r in docs.collect() if model.curve(np.array([score((r.text or "").encode())]))[0] >= 0.5]
     assert len(rows) < docs.count()

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from furrow.llm.quality import CompressionModel, fit_curve, fit_quality, held_out, labelled_documents, score_quality
+from furrow.llm.quality import CompressionModel, fit_curve, fit_quality, held_out, learnable, score_quality
 
 
 def test_curve_is_calibrated():
@@ -38,19 +38,18 @@ def test_registered_query_on_held_out_rows(spark):
 
 
 def test_labels_of_held_out_rows_are_not_used(spark):
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    used = {r.doc_id for r in labelled_documents(docs, labels).collect()}
+    used = {r.doc_id for r in learnable(labels).collect() if r.doc_id is not None}
     assert used == {i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 3 != 1}
 
 
 def test_odd_inputs(spark):
-    empty = spark.createDataFrame([], "doc_id long, text string, quality int")
+    empty = spark.createDataFrame([], "doc_id long, quality int")
     docs = spark.createDataFrame([(1, None, 5.0), (None, "", 6.0), (2, "x" * 3_000_000, 7.0)], "doc_id long, text string, good double")
-    got = score_quality(docs, fit_quality(empty))
+    got = score_quality(docs, fit_quality(docs, empty))
     assert [r.score for r in got.collect()] == [0.5] * 3 and got.columns == ["doc_id", "text", "good", "score"]
-    one = empty.unionByName(spark.createDataFrame([(1, "good text", 1), (2, None, 1)], empty.schema))
-    assert all(0 < r.score < 1 for r in score_quality(docs, fit_quality(one)).collect())
+    one = spark.createDataFrame([(1, 1), (2, 1), (None, 1), (5, 0)], empty.schema)
+    assert all(0 < r.score < 1 for r in score_quality(docs, fit_quality(docs, one)).collect())
     model = CompressionModel(b"some good words here " * 20, b"BAD BAD " * 50, 3, 10.0, 0.5)
     scores = {r.doc_id: r.score for r in score_quality(docs, model).collect()}
     assert scores[1] == scores[None] == 1 / (1 + np.exp(-0.5))
