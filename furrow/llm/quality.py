@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries hold labelled text, good and bad. A text that resembles one of them compresses better with it; the
 difference of the two compressed sizes over the text's size is the raw value, and a logistic curve fitted on labelled rows that
-are in neither dictionary makes it a score.
+are in neither dictionary makes it a score. The curve also has the text's brevity, because the difference tells little of a text
+of a few words.
 
 The model is fitted on a bounded sample (``dictionary_bytes`` of whole texts a class, ``calibration_rows`` rows), chosen by a
 hash of the id, in one task; it has a few megabytes and every text is scored whole in one map pass.
@@ -29,13 +30,14 @@ _SMOOTH = 20  # bytes added to the size in the ratio, so that a few bytes' diffe
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Dictionaries, level and the curve ``1 / (1 + exp(-(slope * value + intercept)))``."""
+    """Dictionaries, level and the curve ``1 / (1 + exp(-(slope * value + intercept + brevity * short)))``."""
 
     good: bytes
     bad: bytes
     level: int
     slope: float = 0.0
     intercept: float = 0.0
+    brevity: float = 0.0
 
     def scorer(self):
         """Raw value of a text (bytes)."""
@@ -49,29 +51,36 @@ class CompressionModel:
         good, bad = (x.compress for x in made)
         return lambda text: (len(bad(text)) - len(good(text))) / (len(text) + _SMOOTH) if text else 0.0
 
-    def curve(self, values: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * values + self.intercept, -500, 500)))
+    def curve(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores from raw values and sizes in bytes."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * values + self.intercept + self.brevity * short(sizes), -500, 500)))
 
 
-def fit_curve(values: np.ndarray, good: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and intercept of the logistic curve by damped Newton steps, with targets drawn in by one row of each class."""
+def short(sizes: np.ndarray) -> np.ndarray:
+    """1 for the empty text, near 0 for a long one."""
+    return 40 / (40 + sizes)
+
+
+def fit_curve(values: np.ndarray, sizes: np.ndarray, good: np.ndarray, rounds: int = 100) -> tuple[float, float, float]:
+    """Slope, intercept and brevity of the logistic curve by damped Newton steps, with targets drawn in by one row of each class."""
     n1, n0 = good.sum(), (~good).sum()
     if not n1 or not n0:
         p = (n1 + 1) / (n1 + n0 + 2)
-        return 0.0, float(np.log(p / (1 - p)))
+        return 0.0, float(np.log(p / (1 - p))), 0.0
     target = np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     scale = values.std() or 1.0
-    x = np.stack([values / scale, np.ones(len(values))], axis=1)
-    w = np.array([0.0, np.log(n1 / n0)])
+    x = np.stack([values / scale, np.ones(len(values)), short(sizes)], axis=1)
+    w = np.array([0.0, np.log(n1 / n0), 0.0])
+    hold = np.array([1e-3, 0.0, 1e-1])
 
     def loss(w):
         z = x @ w
-        return (np.logaddexp(0, z) - target * z).sum() + 1e-3 * w[0] ** 2
+        return (np.logaddexp(0, z) - target * z).sum() + (hold * w * w).sum()
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(x @ w)))
-        slope = x.T @ (p - target) + np.array([2e-3 * w[0], 0])
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag([2e-3, 1e-9])
+        slope = x.T @ (p - target) + 2 * hold * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(2 * hold + 1e-9)
         step = np.linalg.solve(bend, slope)
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
@@ -79,12 +88,12 @@ def fit_curve(values: np.ndarray, good: np.ndarray, rounds: int = 100) -> tuple[
         w = w - size * step
         if np.abs(size * step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return float(w[0] / scale), float(w[1]), float(w[2])
 
 
 def _fit(dictionary_bytes: int, level: int):
     def run(sample: pa.Table) -> pa.Table:
-        """Sample rows (use, good, text) to one row (good, bad, slope, intercept)."""
+        """Sample rows (use, good, text) to one row (good, bad, slope, intercept, brevity)."""
         use, good = sample["use"].to_pylist(), np.array(sample["good"].to_pylist(), dtype=bool)
         texts = [t.encode() for t in sample["text"].to_pylist()]
         sides = [[t for t, u, g in zip(texts, use, good, strict=True) if u == "dictionary" and g == side and t] for side in (True, False)]
@@ -100,9 +109,9 @@ def _fit(dictionary_bytes: int, level: int):
         model = CompressionModel(*data, level)
         rest = [k for k, u in enumerate(use) if u == "calibration"]
         score = model.scorer()
-        slope, intercept = fit_curve(np.array([score(texts[k]) for k in rest]), good[rest])
+        slope, intercept, brevity = fit_curve(np.array([score(texts[k]) for k in rest]), np.array([len(texts[k]) for k in rest]), good[rest])
         return pa.table({"good": pa.array([data[0]], pa.binary()), "bad": pa.array([data[1]], pa.binary()),
-                         "slope": pa.array([slope]), "intercept": pa.array([intercept])})
+                         "slope": pa.array([slope]), "intercept": pa.array([intercept]), "brevity": pa.array([brevity])})
     return run
 
 
@@ -130,10 +139,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, good_col: str = "quality", i
         return fitted(table.sort_by([("use", "ascending"), ("h", "ascending"), ("text", "ascending")]))
 
     fitted = _fit(dictionary_bytes, level)
-    found = sample.groupBy("one").applyInArrow(ordered, "good binary, bad binary, slope double, intercept double").collect()
+    found = sample.groupBy("one").applyInArrow(ordered, "good binary, bad binary, slope double, intercept double, brevity double").collect()
     if not found:
         return CompressionModel(b"", b"", level)
-    return CompressionModel(bytes(found[0]["good"]), bytes(found[0]["bad"]), level, found[0]["slope"], found[0]["intercept"])
+    return CompressionModel(bytes(found[0]["good"]), bytes(found[0]["bad"]), level, found[0]["slope"], found[0]["intercept"], found[0]["brevity"])
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -143,9 +152,10 @@ def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = sent.value.scorer()
         for batch in batches:
-            values = np.array([score(t.encode()) for t in batch.column("text").to_pylist()], dtype=float)
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            values, sizes = np.array([score(t) for t in texts], dtype=float), np.array([len(t) for t in texts], dtype=float)
             keep = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sent.value.curve(values), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sent.value.curve(values, sizes), pa.float64())], [*keep, "score"])
 
     names = [f"c{k}" for k in range(len(docs.columns))]
     wide = docs.toDF(*names).withColumn("text", F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit("")))

@@ -15,7 +15,7 @@ def test_same_as_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_quality(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     score = model.scorer()
-    rows = [r for r in docs.collect() if model.curve(np.array([score((r.text or "").encode())]))[0] >= 0.5]
+    rows = [r for r in docs.collect() if model.curve(np.array([score((r.text or "").encode())]), np.array([len((r.text or "").encode())]))[0] >= 0.5]
     assert len(rows) < docs.count()
     low = {i: c for i, _, c in test_ngram_join.brute([(r.doc_id, r.text) for r in rows], 5, 80)}
     rows = [r for r in rows if low[r.doc_id] == r.doc_id]

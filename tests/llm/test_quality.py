@@ -12,10 +12,12 @@ def test_curve_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=20_000)
     good = rng.random(20_000) < 1 / (1 + np.exp(-(3 * x + 1)))
-    slope, intercept = fit_curve(x, good)
-    assert abs(slope - 3) < 0.2 and abs(intercept - 1) < 0.1
-    assert fit_curve(np.zeros(0), np.zeros(0, dtype=bool)) == (0.0, 0.0)
-    assert fit_curve(np.array([1.0, 2.0]), np.array([True, True]))[0] == 0.0
+    slope, intercept, brevity = fit_curve(x, np.full(20_000, 1e9), good)
+    assert abs(slope - 3) < 0.2 and abs(intercept - 1) < 0.1 and abs(brevity) < 0.1
+    assert fit_curve(np.zeros(0), np.zeros(0), np.zeros(0, dtype=bool)) == (0.0, 0.0, 0.0)
+    assert fit_curve(np.array([1.0, 2.0]), np.ones(2), np.array([True, True]))[0] == 0.0
+    sizes = np.where(rng.random(20_000) < .5, 0.0, 1e9)
+    assert fit_curve(x, sizes, good | (sizes == 0))[2] > 3
 
 
 def test_held_out_is_the_crc_rule(spark):
