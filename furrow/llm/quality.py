@@ -120,16 +120,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, good_col: str = "quality", i
                 level: int = 6) -> CompressionModel:
     """Fit on documents (id, text) by labels (id, 0 or 1), one row for each id.
 
-    A third of the ids (by hash) is for the dictionaries, at most ``dictionary_rows`` of a class; the others calibrate, at most
+    Two thirds of the ids (by hash) are for the dictionaries, at most ``dictionary_rows`` of a class; the others calibrate, at most
     ``calibration_rows``. The ids are chosen from the labels, so only their texts leave the documents; those of more than
     ``sample_chars`` are passed over, the others enter whole.
     """
     rows = labels.where(F.col(good_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), (F.col(good_col) == 1).alias("good"), F.xxhash64(id_col, F.lit(17)).alias("h"))
     part = F.pmod(F.xxhash64("h"), F.lit(3))
-    picked = [rows.where((part == 0) & (F.col("good") == side)).orderBy("h", "id").limit(dictionary_rows).withColumn("use", F.lit("dictionary"))
+    picked = [rows.where((part > 0) & (F.col("good") == side)).orderBy("h", "id").limit(dictionary_rows).withColumn("use", F.lit("dictionary"))
               for side in (True, False)]
-    picked.append(rows.where(part > 0).orderBy("h", "id").limit(calibration_rows).withColumn("use", F.lit("calibration")))
+    picked.append(rows.where(part == 0).orderBy("h", "id").limit(calibration_rows).withColumn("use", F.lit("calibration")))
     chosen = cut_lineage(picked[0].unionByName(picked[1]).unionByName(picked[2]))  # bounded by the three limits
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = texts.where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "id").select(
