@@ -18,14 +18,15 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 16 << 20
+SLICE_BYTES = 12 << 20
 OUT_CHARS = 1 << 20
 
 
@@ -122,7 +123,7 @@ class TrieEncoder:
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words, by depth-first order of their trie."""
         out, states, before = {}, [-1], ""
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > 300_000:
             self.apart.clear()
         length, last = self.length, self._last
         for word, key in sorted((self._visible(w), w) for w in words):
@@ -170,12 +171,14 @@ class TrieEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
         """Per text: ids as little-endian unsigned 32-bit integers, their number, and the decoded text."""
-        rows = [self.words(t) for t in texts]
-        ids = self.encode_words(list({w for row in rows for w in row if not isinstance(w, int)}))
-        packed = {w: np.array(x, dtype="<u4").tobytes() for w, x in ids.items()}
+        known: dict = {}  # one object for each distinct word: a slice has many more words than distinct ones
+        rows = [[known.setdefault(w, w) for w in self.words(t)] for t in texts]
+        ids = self.encode_words([w for w in known if not isinstance(w, int)])
+        packed = {w: pack(f"<{len(x)}I", *x) for w, x in ids.items()}
         plain = {w: self.decode(x) for w, x in ids.items()}
+        del ids, known
         for i in self.added.values():
-            packed[i], plain[i] = np.array([i], dtype="<u4").tobytes(), self.token[i]
+            packed[i], plain[i] = pack("<I", i), self.token[i]
         for row in rows:
             data = b"".join(map(packed.__getitem__, row))
             yield data, len(data) // 4, " ".join(map(plain.__getitem__, row))
@@ -197,14 +200,15 @@ def _encode(name: str):
 
         made = encoder(name if "/" in name else public_tokenizers.path(name))
         for batch in batches:
-            texts, first = batch.column("text").to_pylist(), 0
-            while first < len(texts):
+            column, first = batch.column("text"), 0
+            sizes = pc.binary_length(column).to_pylist()
+            while first < len(sizes):
                 last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) <= SLICE_CHARS):
-                    size += len(texts[last])
+                while last < len(sizes) and (last == first or size + sizes[last] <= SLICE_BYTES):
+                    size += sizes[last]
                     last += 1
                 rows, begin, chars = [], first, 0
-                for k, row in enumerate(made.encode(texts[first:last]), first):
+                for k, row in enumerate(made.encode(column.slice(first, last - first).to_pylist()), first):
                     rows.append(row)
                     chars += len(row[2])
                     if chars > OUT_CHARS or k == last - 1:
