@@ -177,15 +177,20 @@ def trigram_index(docs: DataFrame, grams: list[bytes]) -> DataFrame:
     return cut_lineage(docs.mapInArrow(_post(grams), "trigram binary, ids array<long>"))
 
 
-def candidates(index: DataFrame, query: Query) -> DataFrame:
-    """Ids (rid) whose postings satisfy one of the alternatives."""
-    wanted = sorted(set().union(*query))
+def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
+    """(rid, rules): the rules one of whose alternatives the postings of an id satisfy. One aggregation serves all rules."""
+    wanted = sorted(set().union(*(g for q in queries.values() for g in q)))
     lists = index.where(F.col("trigram").isin(wanted)).select("trigram", F.explode("ids").alias("rid"))
     have = lists.groupBy("rid").agg(F.collect_set("trigram").alias("have"))
-    holds = F.lit(False)
-    for grams in query:
-        holds = holds | (F.size(F.array_except(F.array(*map(F.lit, sorted(grams))), "have")) == 0)
-    return have.where(holds).select("rid")
+
+    def holds(query: Query):
+        found = F.lit(False)
+        for grams in query:
+            found = found | (F.size(F.array_except(F.array(*map(F.lit, sorted(grams))), "have")) == 0)
+        return found
+
+    rules = F.array_compact(F.array(*[F.when(holds(q), F.lit(k)) for k, q in queries.items()]))
+    return have.select("rid", rules.alias("rules")).where(F.size("rules") > 0)
 
 
 def find_spans(text: str, rules: list[tuple[int, Rule, re.Pattern]]) -> list[tuple[int, int, str]]:
@@ -225,9 +230,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known: dict[int, Membership] = {}
     if queries:
         index = trigram_index(docs.select(rid, text), sorted(set().union(*(g for q in queries.values() for g in q))))
-        for k, q in queries.items():
-            found = cut_lineage(candidates(index, q))
-            known[k] = Membership(found, "rid", found.count(), 1 << 26)
+        found = cut_lineage(candidates(index, queries))
+        counts = found.agg(*[F.count_if(F.array_contains("rules", k)).alias(str(k)) for k in queries]).first()
+        for k in queries:
+            known[k] = Membership(found.where(F.array_contains("rules", k)), "rid", counts[str(k)], 1 << 26)
     names = [f"c{k}" for k in range(len(docs.columns))]
     rows = docs.toDF(*names)
     wide = rows.select(*names, F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(NO_ID)).alias("rid"),
