@@ -5,8 +5,12 @@ difference of the two compressed sizes over the text's size is the raw value, an
 are in neither dictionary makes it a score. The curve also has the text's brevity, because the difference tells little of a text
 of a few words.
 
-The model is fitted on a bounded sample (``dictionary_bytes`` of whole texts a class, ``calibration_rows`` rows), chosen by a
-hash of the id, in one task; it has a few megabytes and every text is scored whole in one map pass.
+A text is compressed as consecutive pieces of ``PIECE`` bytes, each by itself and none left out, and the sizes are added up. In one
+frame a long text would find its matches in itself rather than in the dictionaries, and its value would fall to 0 with its length.
+
+The dictionaries are a bounded sample (``dictionary_bytes`` a class), chosen by a hash of the id and put together in one task; the
+curve is fitted on the values of ``calibration_rows`` texts of any length, which are scored where they are. The model has a few
+megabytes and every text is scored whole in one map pass.
 
 Edge cases: null text is empty; an empty text has the raw value 0 and thus the score of the curve there; without labelled rows
 of both classes the score is the share of good rows, or 0.5.
@@ -15,7 +19,7 @@ of both classes the score is the share of good rows, or 0.5.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from furrow.session import cut_lineage
 
 _SMOOTH = 20  # bytes added to the size in the ratio, so that a few bytes' difference of a tiny text weighs little
+PIECE = 4096  # bytes compressed at a time
 
 
 @dataclass(frozen=True)
@@ -49,7 +54,12 @@ class CompressionModel:
             known.precompute_compress(level=self.level)
             made.append(zstandard.ZstdCompressor(level=self.level, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False))
         good, bad = (x.compress for x in made)
-        return lambda text: (len(bad(text)) - len(good(text))) / (len(text) + _SMOOTH) if text else 0.0
+
+        def value(text: bytes) -> float:
+            pieces = (text[k:k + PIECE] for k in range(0, len(text), PIECE))
+            return sum(len(bad(x)) - len(good(x)) for x in pieces) / (len(text) + _SMOOTH)
+
+        return value
 
     def curve(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Scores from raw values and sizes in bytes."""
@@ -91,12 +101,12 @@ def fit_curve(values: np.ndarray, sizes: np.ndarray, good: np.ndarray, rounds: i
     return float(w[0] / scale), float(w[1]), float(w[2])
 
 
-def _fit(dictionary_bytes: int, level: int):
+def _dictionaries(dictionary_bytes: int):
     def run(sample: pa.Table) -> pa.Table:
-        """Sample rows (use, good, text) to one row (good, bad, slope, intercept, brevity)."""
-        use, good = sample["use"].to_pylist(), np.array(sample["good"].to_pylist(), dtype=bool)
-        texts = [t.encode() for t in sample["text"].to_pylist()]
-        sides = [[t for t, u, g in zip(texts, use, good, strict=True) if u == "dictionary" and g == side and t] for side in (True, False)]
+        """Sample rows (good, h, text) to one row (good, bad)."""
+        sample = sample.sort_by([("h", "ascending"), ("text", "ascending")])
+        good, texts = sample["good"].to_pylist(), [t.encode() for t in sample["text"].to_pylist()]
+        sides = [[t for t, g in zip(texts, good, strict=True) if g == side and t] for side in (True, False)]
         room = min(dictionary_bytes, *(sum(map(len, s)) for s in sides))  # as much of one class as of the other
         data = []
         for side in sides:
@@ -106,12 +116,7 @@ def _fit(dictionary_bytes: int, level: int):
                     taken.append(t)
                     size += len(t) + 1
             data.append(b"\n".join(taken))
-        model = CompressionModel(*data, level)
-        rest = [k for k, u in enumerate(use) if u == "calibration"]
-        score = model.scorer()
-        slope, intercept, brevity = fit_curve(np.array([score(texts[k]) for k in rest]), np.array([len(texts[k]) for k in rest]), good[rest])
-        return pa.table({"good": pa.array([data[0]], pa.binary()), "bad": pa.array([data[1]], pa.binary()),
-                         "slope": pa.array([slope]), "intercept": pa.array([intercept]), "brevity": pa.array([brevity])})
+        return pa.table({"good": pa.array([data[0]], pa.binary()), "bad": pa.array([data[1]], pa.binary())})
     return run
 
 
@@ -121,8 +126,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, good_col: str = "quality", i
     """Fit on documents (id, text) by labels (id, 0 or 1), one row for each id.
 
     Two thirds of the ids (by hash) are for the dictionaries, at most ``dictionary_rows`` of a class; the others calibrate, at most
-    ``calibration_rows``. The ids are chosen from the labels, so only their texts leave the documents; those of more than
-    ``sample_chars`` are passed over, the others enter whole.
+    ``calibration_rows``. The ids are chosen from the labels, so only dictionary texts leave the documents: whole ones up to
+    ``sample_chars``, of longer ones a stretch of that size from a place given by the hash. Calibrating texts count whole.
     """
     rows = labels.where(F.col(good_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), (F.col(good_col) == 1).alias("good"), F.xxhash64(id_col, F.lit(17)).alias("h"))
@@ -132,17 +137,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, good_col: str = "quality", i
     picked.append(rows.where(part == 0).orderBy("h", "id").limit(calibration_rows).withColumn("use", F.lit("calibration")))
     chosen = cut_lineage(picked[0].unionByName(picked[1]).unionByName(picked[2]))  # bounded by the three limits
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sample = texts.where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "id").select(
-        "use", "good", "h", "text", F.lit(1).alias("one"))
 
-    def ordered(table: pa.Table) -> pa.Table:
-        return fitted(table.sort_by([("use", "ascending"), ("h", "ascending"), ("text", "ascending")]))
+    def rows_for(use: str) -> DataFrame:
+        return texts.join(F.broadcast(chosen.where(F.col("use") == use)), "id")
 
-    fitted = _fit(dictionary_bytes, level)
-    found = sample.groupBy("one").applyInArrow(ordered, "good binary, bad binary, slope double, intercept double, brevity double").collect()
-    if not found:
-        return CompressionModel(b"", b"", level)
-    return CompressionModel(bytes(found[0]["good"]), bytes(found[0]["bad"]), level, found[0]["slope"], found[0]["intercept"], found[0]["brevity"])
+    spare = F.greatest(F.length("text") - sample_chars, F.lit(0))
+    stretch = F.substring("text", (F.pmod(F.col("h"), spare + 1) + 1).cast("int"), F.lit(sample_chars))
+    found = rows_for("dictionary").select("good", "h", stretch.alias("text"), F.lit(1).alias("one")).groupBy("one").applyInArrow(
+        _dictionaries(dictionary_bytes), "good binary, bad binary").collect()
+    model = CompressionModel(bytes(found[0]["good"]), bytes(found[0]["bad"]), level) if found else CompressionModel(b"", b"", level)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = sent.value.scorer()
+        for batch in batches:
+            rest = [t.encode() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("good"), batch.column("h"), pa.array(map(len, rest), pa.int64()),
+                                              pa.array(map(score, rest), pa.float64())], ["good", "h", "size", "value"])
+
+    known = rows_for("calibration").select("good", "h", "text").mapInArrow(valued, "good boolean, h long, size long, value double").collect()
+    known.sort(key=lambda r: (r["h"], r["size"], r["value"]))  # numbers only
+    curve = fit_curve(np.array([r["value"] for r in known], dtype=float), np.array([r["size"] for r in known], dtype=float),
+                      np.array([r["good"] for r in known], dtype=bool))
+    return replace(model, slope=curve[0], intercept=curve[1], brevity=curve[2])
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
