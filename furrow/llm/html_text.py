@@ -2,7 +2,8 @@
 
 The pages of a host are dealt into groups of about ``group`` pages; in each, the largest page's tree is the wrapper and every
 page is aligned with it by simple tree matching. Trees are matched over block elements, with runs of like siblings as one node.
-A block whose text is the same in most aligned pages is template; what varies is content. Of the content, blocks in menus, headers,
+A block whose text is the same in most aligned pages is template; what varies is content. Pages of equal block texts have one vote
+together, and within an article or main element votes remove nothing, so copies of a page keep its text. Of the content, blocks in menus, headers,
 footers, sidebars, notices, adverts, forms and comments (by element, role, class or id) are left out, and where a page has an
 article (else a main) element, everything outside it.
 
@@ -207,20 +208,27 @@ def _count(node: Node) -> int:
 
 
 def extract_group(pages: list[str], least: int = 3, share: float = 0.6) -> list[str]:
-    """Main texts of pages of one host. A block is template if ``share`` of the pages (at least ``least``) have it at its place."""
+    """Main texts of pages of one host.
+
+    A block outside article and main elements is template if ``share`` of the distinct pages that have its place (at least
+    ``least``) have it there.
+    """
     parsed = [(fold(tree), blocks) for tree, blocks in map(parse, pages)]
     template: list[set[int]] = [set() for _ in pages]
-    if len(pages) >= least:
+    like: dict[tuple[str, ...], list[int]] = {}
+    for k, (_, blocks) in enumerate(parsed):
+        like.setdefault(tuple(b[0] for b in blocks), []).append(k)
+    if len(like) >= least:
         wrapper = max((tree for tree, _ in parsed), key=_count)
         aligned = [match(wrapper, tree)[1] for tree, _ in parsed]
         seen: Counter = Counter()
         same: Counter = Counter()
-        for pairs, (_, blocks) in zip(aligned, parsed, strict=True):
-            for w, p in pairs:
-                seen[id(w)] += 1
-                same.update({(id(w), blocks[t][0]) for t in p.texts})
+        for equal in like.values():
+            seen.update({id(w) for k in equal for w, _ in aligned[k]})
+            same.update({(id(w), parsed[k][1][t][0]) for k in equal for w, p in aligned[k] for t in p.texts})
         for k, (pairs, (_, blocks)) in enumerate(zip(aligned, parsed, strict=True)):
-            template[k] = {t for w, p in pairs for t in p.texts if same[id(w), blocks[t][0]] >= max(least, share * seen[id(w)])}
+            template[k] = {t for w, p in pairs for t in p.texts if not (blocks[t][2] or blocks[t][3])
+                           and same[id(w), blocks[t][0]] >= max(least, share * seen[id(w)])}
     out = []
     for (_, blocks), fixed in zip(parsed, template, strict=True):
         left = [b for k, b in enumerate(blocks) if not b[1] and k not in fixed]

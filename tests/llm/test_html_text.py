@@ -85,3 +85,21 @@ def test_nulls_repeats_and_a_hot_host(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(
         [(i, u, f"body {i}") for i, u, _ in rows[:300]] + [(1, None, ""), (None, "not a url", "x"), (2, "http://one.example", "y"), (2, "http://one.example", "y")], key=str)
     assert extract_pages(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("copies", [3, 10, 32])
+@pytest.mark.parametrize("inner", ["<article><p>{0}</p><ul><li>{1}</ul></article>", "<main><p>{0}</p><ul><li>{1}</ul></main>",
+                                   "<div><p>{0}</p><blockquote>{1}</blockquote></div>"])
+def test_copies_keep_their_text(copies, inner):
+    page = "<body><div class=top>Welcome</div>{}<div class=end>Rights reserved</div></body>"
+    copied = page.format(inner.format("copied text", "copied item"))
+    assert set(extract_group([copied] * copies)) <= {"copied text\ncopied item", "Welcome\ncopied text\ncopied item\nRights reserved"}
+    others = [page.format(f"<div><p>own text {k}</p></div>") for k in range(29)]
+    for rest in (others[:2], others):
+        got = extract_group([copied] * copies + rest)
+        assert got == ["copied text\ncopied item"] * copies + [f"own text {k}" for k in range(len(rest))]
+
+
+def test_lines_of_all_articles_stay():
+    pages = [f"<div>Site</div><article><p>Story {k}</p><p>Licensed to all</p></article>" for k in range(5)]
+    assert extract_group(pages) == [f"Story {k}\nLicensed to all" for k in range(5)]
