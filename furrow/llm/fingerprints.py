@@ -60,14 +60,14 @@ def fingerprint(text: bytes) -> str:
     block = LEAST
     while block * LENGTH < len(data):
         block *= 2
-    # every boundary of a block size is one of the halved size: look once, then among the found
+    # every boundary of a block size is one of the halved size: look once for four halvings, then among the found
     least = block
-    while least > LEAST and least > block // 16:
-        least //= 2
-    near = np.flatnonzero(rolled % np.uint32(least) == np.uint32(least - 1))
     while True:
+        if block == least:
+            least = max(LEAST, block // 16)  # both are 3 * 2**k
+            near = np.flatnonzero(rolled % np.uint32(least) == np.uint32(least - 1))
         ends = near[rolled[near] % np.uint32(block) == np.uint32(block - 1)] + 1
-        if len(ends) >= LENGTH // 2 - 1 or block <= LEAST or block <= least:
+        if len(ends) >= LENGTH // 2 - 1 or block <= LEAST:
             break
         block //= 2
     double = ends[rolled[ends - 1] % np.uint32(2 * block) == np.uint32(2 * block - 1)]

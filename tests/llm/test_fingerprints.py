@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from furrow.llm import fingerprints as C
@@ -116,3 +117,24 @@ def test_registered_query(spark, sf_dir):
     assert sorted(map(tuple, got.collect())) == want
     plain = C.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     assert sorted(map(tuple, plain.collect())) == sorted((i, f) for i, _, _, f, *_ in want)
+
+
+@pytest.mark.parametrize("period", [10, 80, 200, 1000])
+def test_repeated_passages_halve_to_the_least_size(period):
+    rng = random.Random(period)
+    for _ in range(10):
+        line = bytes(rng.choice(b"abcdefgh ijkl") for _ in range(period))
+        data = line * (100_000 // period)
+        block, one, two = C.fingerprint(data).split(":")
+        hashes = C._rolled(np.frombuffer(data, dtype=np.uint8)).tolist()
+        want = 3
+        while want * 64 < len(data):
+            want *= 2
+        while want > 3 and sum(x % want == want - 1 for x in hashes) < 31:
+            want //= 2
+        ends = [k + 1 for k, x in enumerate(hashes) if x % want == want - 1][:63]
+        chunks = [data[a:b] for a, b in zip([0, *ends], [*ends, len(data)]) if a < b]
+        assert int(block) == want and len(one) == len(chunks) and len(ends) >= 31
+        by = {}
+        assert all(by.setdefault(c, x) == x for c, x in zip(chunks, one, strict=True))
+        assert C.likeness(f"{block}:{one}:{two}", C.fingerprint(data[:75_000] + b"another" + data[75_007:])) > 0.5
