@@ -5,7 +5,9 @@ page is aligned with it by simple tree matching. Trees are matched over block el
 A block whose text is the same in most aligned pages is template; what varies is content. Pages of equal block texts have one vote
 together, and within an article or main element votes remove nothing, so copies of a page keep its text. Of the content, blocks in menus, headers,
 footers, sidebars, notices, adverts, forms and comments (by element, role, class or id) are left out, and where a page has an
-article (else a main) element, everything outside it.
+article (else a main) element, everything outside it. A class or id counts if all parts of one of its tokens say so, if the
+element holds no article or main element, and if it is mostly links or the elements hidden like this, the smallest kinds first,
+are no more than half of the page's text.
 
 A host with very many pages makes many groups, so no group grows with the data.
 
@@ -28,7 +30,8 @@ from furrow.session import cut_lineage
 
 # Elements of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video select annotation annotation-xml".split())
+TO_THE_END = frozenset("script style textarea title iframe".split())  # unclosed, they take the rest of the page; the others end with their parent
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
                   "table tbody td tfoot th thead tr ul".split())
@@ -40,14 +43,17 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar "
                   "navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe "
                   "signup login share sharing social related recommended comment comments disqus respond replies pagination pager".split())
+PLACES = frozenset("site page main top bottom left right primary secondary global list area box block bar".split())  # may stand beside WORDS
 
 # Nested deeper, elements still end blocks but add no level; with more children, like siblings are one node wherever they stand.
 DEEPEST, WIDEST = 100, 64
+ASIDE = 100  # a named element within a line of text is hidden up to this many characters
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""\s(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>])""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_HREF = re.compile(r"\shref\s*=", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -55,24 +61,49 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Node:
     """A block element: its blocks of own text (by number) and its children, in order."""
 
-    __slots__ = ("tag", "key", "apart", "texts", "children")
+    __slots__ = ("tag", "key", "apart", "named", "texts", "children")
 
-    def __init__(self, tag: str, key: str, apart: bool):
-        self.tag, self.key, self.apart, self.texts, self.children = tag, key, apart, [], []
+    def __init__(self, tag: str, key: str, apart: bool, named: str = ""):
+        self.tag, self.key, self.apart, self.named, self.texts, self.children = tag, key, apart, named, [], []
 
 
-def _attributes(tag: str, name: str) -> tuple[str, bool]:
-    """Class text for the node's key, and whether the element is no main text."""
+def _name(tokens: str) -> str:
+    """Those of the classes and ids that are made of WORDS (and PLACES) alone, without numbers."""
+    split = [_PARTS.findall(x) for x in tokens.split()]
+    return " ".join(sorted({"-".join(x) for x in split if not WORDS.isdisjoint(x) and all(y in WORDS or y in PLACES for y in x)}))
+
+
+def _attributes(tag: str, name: str) -> tuple[str, bool, str]:
+    """Class text for the node's key, whether the element is no main text, and the classes and ids that say so."""
     if "=" not in tag and "hidden" not in tag:
-        return "", name in APART
+        return "", name in APART, ""
     found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(tag)}
-    named = not WORDS.isdisjoint(_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-    if name in ("html", "body", "main"):
-        named = False
-    elif name != "article":
-        named = (named or name in APART or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+    named, apart = "", False
+    if name not in ("html", "body", "main", "article"):
+        named = _name(f"{found.get('class', '')} {found.get('id', '')}")
+        apart = (name in APART or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
                  or bool(_HIDDEN.search(found.get("style", ""))))
-    return found.get("class", ""), named
+    return found.get("class", ""), apart, named
+
+
+def _hidden_by_name(blocks: list[tuple], spared: set[int], inline: dict[int, Node]) -> set[int]:
+    """The numbers of the blocks that a class or id hides; a block ends with its named elements and its characters in links."""
+    kinds: dict[str, set[int]] = {}
+    hidden: set[int] = set()
+    size = [0 if b[1] else len(b[0]) for b in blocks]
+    for k, b in enumerate(blocks):
+        for node in b[4]:
+            if id(node) in inline and inline[id(node)].texts and size[k] <= ASIDE:
+                hidden.add(k)
+            elif id(node) not in spared:
+                kinds.setdefault(node.named, set()).add(k)
+    room, taken = sum(size) / 2, set()
+    for own in sorted(kinds.values(), key=lambda own: sum(size[k] for k in own)):
+        if sum(blocks[k][5] for k in own if size[k]) * 2 >= sum(size[k] for k in own):
+            hidden |= own
+        elif sum(size[k] for k in taken | own) <= room:
+            taken |= own
+    return hidden | taken
 
 
 def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
@@ -80,20 +111,30 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
     root = Node("", "", False)
     stack: list[tuple[str, Node | None]] = [("", root)]
     path: list[Node] = [root]
-    blocks: list[tuple[str, bool, bool, bool]] = []
+    blocks: list[tuple] = []  # as returned, the named elements around it, characters in links
     pieces: list[str] = []
+    linked = links = 0  # characters in links of the block, links open
+    spared: set[int] = set()  # named elements that hold an article or main element
+    inline: dict[int, Node] = {}  # the parents of named elements without blocks in them
+    unclosed: set[str] = set()
 
     def flush() -> None:
+        nonlocal linked
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             pieces.clear()
             if text:
                 path[-1].texts.append(len(blocks))
-                blocks.append((text, any(n.apart for n in path), any(n.tag == "article" for n in path), any(n.tag == "main" for n in path)))
+                inner = max((k for k, n in enumerate(path) if n.tag in ("article", "main")), default=0)
+                blocks.append((text, any(n.apart for n in path), any(n.tag == "article" for n in path), any(n.tag == "main" for n in path),
+                               [n for n in path[inner:] if n.named], linked))
+            linked = 0
 
     def close(k: int) -> None:
         """Leave the elements from stack position k on."""
-        for _, node in stack[k:]:
+        nonlocal links
+        for name, node in stack[k:]:
+            links -= name == "a href"
             if node is not None:
                 flush()
                 path.pop()
@@ -107,10 +148,27 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
                 return 0
         return 0
 
+    def raw_end(name: str, at: int) -> re.Match | None:
+        """The end of a RAW element, if its parent does not end before."""
+        if name in unclosed:
+            return None
+        end = _RAW_END[name].search(html, at)
+        if end is None:
+            unclosed.add(name)
+        elif name not in TO_THE_END and (parent := stack[-1][0].split(" ")[0]):
+            depth = 0
+            for m in re.finditer(rf"<(/?){re.escape(parent)}(?=[\s/>])", html[at:end.start()], re.I):
+                depth += -1 if m[1] else 1
+                if depth < 0:
+                    return None
+        return end
+
     at = 0
     while True:
         m = _TAG.search(html, at)
         pieces.append(html[at:m.start()] if m else html[at:])
+        if links:
+            linked += len(" ".join(unescape(pieces[-1]).split()))
         if not m:
             break
         at, tag = m.end(), m[0]
@@ -122,17 +180,20 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
             if name == "br" or name == "p" and not nearest(("p",)):
                 pieces.append(" ")
                 continue
-            k = nearest((name,))
+            k = nearest(("a", "a href") if name == "a" else (name,))
             if k:
                 close(k)
             continue
         if name in RAW:
-            end = None if tag.endswith("/>") and name in ("svg", "math") else _RAW_END[name].search(html, at)
-            at = end.end() if end else at if tag.endswith("/>") else len(html)
-            pieces.append(" " if name != "title" else "")
-            continue
-        classes, apart = _attributes(tag, name) if name not in VOID else ("", False)
-        if name in BLOCK or apart:
+            end = None if tag.endswith("/>") and name == "svg" else raw_end(name, at)
+            if end or tag.endswith("/>") or name in TO_THE_END:
+                at = end.end() if end else at if tag.endswith("/>") else len(html)
+                pieces.append(" " if name != "title" else "")
+                continue
+            classes, apart, named = "", not any(n.apart for n in path), ""
+        else:
+            classes, apart, named = _attributes(tag, name) if name not in VOID else ("", False, "")
+        if name in BLOCK or apart or named:
             if name in ENDS_P and (k := nearest(("p",), ("td", "th", "li", "article", "section", "div", "body", "button"))):
                 close(k)
             if name in SAME_ENDS:
@@ -142,21 +203,31 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
             flush()
             if name == "hr":
                 continue
-            if len(path) > DEEPEST and not apart:
+            if len(path) > DEEPEST and (not apart or any(n.apart for n in path)):
                 stack.append((name, path[-1]))
                 path.append(path[-1])
                 continue
-            node = Node(name, f"{name}.{classes}", apart)
+            node = Node(name, f"{name}.{classes}", apart, named)
+            if name in ("article", "main"):
+                spared.update(id(n) for n in path if n.named)
+            if name in BLOCK:
+                for n in path:
+                    inline.pop(id(n), None)
+            elif named:
+                inline[id(node)] = path[-1]
             path[-1].children.append(node)
             path.append(node)
             stack.append((name, node))
         elif name in VOID:
             pieces.append(" ")
         elif not tag.endswith("/>"):
-            stack.append((name, None))
+            link = name == "a" and bool(_HREF.search(tag))
+            links += link
+            stack.append(("a href" if link else name, None))
     close(1)
     flush()
-    return root, blocks
+    hidden = _hidden_by_name(blocks, spared, inline)
+    return root, [(b[0], b[1] or k in hidden, b[2], b[3]) for k, b in enumerate(blocks)]
 
 
 def fold(node: Node) -> Node:

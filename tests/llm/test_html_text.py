@@ -103,3 +103,37 @@ def test_copies_keep_their_text(copies, inner):
 def test_lines_of_all_articles_stay():
     pages = [f"<div>Site</div><article><p>Story {k}</p><p>Licensed to all</p></article>" for k in range(5)]
     assert extract_group(pages) == [f"Story {k}\nLicensed to all" for k in range(5)]
+
+
+BODY = "".join(f"<p>Sentence number {k} of the story.</p>" for k in range(9))
+STORY = "\n".join(f"Sentence number {k} of the story." for k in range(9))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout-with-nav", "post no-comments", "entry-header", "social", "left-sidebar", "comments"])
+def test_a_class_word_hides_no_article_and_not_most_of_a_page(name):
+    for page in ("<div class='{0}'>{1}</div>", "<div id='{0}'><div>{1}</div></div><p>", "<body><div class='{0}'><article>{1}</article><p>x</p></div>",
+                 "<section class='{0}'><div class=share><main>{1}</main></div></section>", "<my-app class='{0}'>{1}</my-app>",
+                 "<div class='{0}'>{1}</div><div class=ad>Buy</div>"):
+        assert extract_group([page.format(name, BODY)]) == [STORY], page
+
+
+@pytest.mark.parametrize("extra", ["<div class='share'>Share this</div>", "<div class='site-footer'>All rights reserved</div>", "<div id=comments-2><p>first!</p></div>",
+                                   "<ul class='menu'>" + "".join(f"<li><a href='/{k}'>A long entry of the menu, number {k}</a>" for k in range(40)) + "</ul>"])
+def test_small_and_linked_elements_still_go(extra):
+    assert extract_group([f"<div>{BODY}{extra}</div>"]) == [STORY] == extract_group([f"<article>{BODY}{extra}</article>"])
+
+
+def test_posts_of_a_thread_stay_together():
+    posts = "".join(f"<div class=comment id=comment-{k}>Post {k}</div>" for k in range(9))
+    assert extract_group([f"<h1>Thread</h1>{posts}"]) == ["Thread\n" + "\n".join(f"Post {k}" for k in range(9))]
+
+
+@pytest.mark.parametrize("tag", ["svg", "select", "object", "audio", "video", "canvas", "template", "noscript"])
+def test_an_unclosed_element_ends_with_its_parent(tag):
+    for later in ("", f"<{tag}>gone</{tag}>"):
+        assert extract_group([f"<p>a</p><div>b<{tag} x=1>gone<i>gone</i></div><p>c</p>{later}<p>d</p>"]) == ["a\nb\nc\nd"]
+    assert extract_group([f"<p>a <{tag}><p>gone</p></{tag}> b</p>" + f"<{tag}>" * 3000]) == ["a b"]
+
+
+def test_formulas_are_text():
+    assert extract_group(["<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> holds"]) == ["so x=1 holds"]
