@@ -164,3 +164,25 @@ def test_variance_components_of_a_balanced_layout(spark):
     df = spark.createDataFrame(rows, "name1 string, location string, year int, o_a_score double")
     out = {r["component"]: r["variance"] for r in variance_components(df, ["location", "year"]).collect()}
     assert out["name1"] == pytest.approx(np.var(g, ddof=1), rel=0.1) and out["residual"] == pytest.approx(0.25, rel=0.1)
+
+
+def test_registered_knn_imputation_fills_all_coordinates(spark, sf_dir):
+    from verification.model_queries import knn_imputation
+
+    stored = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    given = np.array([r.embedding for r in stored], dtype=float)
+    ids = np.array([r.vec_id for r in stored])
+    given[(ids[:, None] + np.arange(given.shape[1])) % 7 == 0] = np.nan
+    has = ~np.isnan(given)
+    want = given.copy()
+    for q in range(len(ids)):
+        both = has & has[q]
+        gaps = np.where(both, given - given[q], 0.0)
+        distance = np.sqrt((gaps * gaps).sum(axis=1) * given.shape[1] / both.sum(axis=1))
+        for j in np.flatnonzero(~has[q]):
+            donors = np.flatnonzero(has[:, j])
+            want[q, j] = given[donors[np.lexsort((ids[donors], distance[donors]))[:15]], j].mean()
+    got = {r.vec_id: r for r in knn_imputation(spark, sf_dir).collect()}
+    assert len(got) == len(ids) and len(got[ids[0]]) == 65
+    for i, row in zip(ids, want):
+        assert np.allclose([got[i][f"x{j}"] for j in range(64)], row, atol=1e-6)

@@ -155,7 +155,7 @@ def knn_regression(spark, sf_dir):
     return knn.knn_regress(points, points, 5, "label")
 
 
-WIDTH = 8
+WIDTH = 64
 _CELLS = {"lng": f"SELECT vec_id, j, CASE WHEN (vec_id + j) % 7 <> 0 THEN embedding[j + 1]::DOUBLE END AS v FROM embeddings, "
                  f"(SELECT unnest(range({WIDTH})) AS j)",
           "pr": f"SELECT a.vec_id AS q, b.vec_id AS d, sqrt(sum((a.v - b.v) * (a.v - b.v)) * {WIDTH} / count(*)) AS dist FROM lng a "
