@@ -186,3 +186,17 @@ def test_registered_knn_imputation_fills_all_coordinates(spark, sf_dir):
     assert len(got) == len(ids) and len(got[ids[0]]) == 65
     for i, row in zip(ids, want):
         assert np.allclose([got[i][f"x{j}"] for j in range(64)], row, atol=1e-6)
+
+
+def test_registered_attribution_of_the_tuned_booster(spark, sf_dir, monkeypatch):
+    from furrow.schema import FEATURE_LABELS
+    from verification.registry import QUERIES
+
+    fitted = []
+    fit_all = ex.fit_all
+    monkeypatch.setattr(ex, "fit_all", lambda df, spec, *rest: fitted.append(spec) or fit_all(df, spec, *rest))
+    rows = QUERIES["E9_booster_attribution"](spark, sf_dir).collect()
+    assert fitted == [ModelSpec("xgb", ex.TUNED_BOOSTER)]
+    features = [*ex.Roles().numeric, *ex.Roles().categorical]
+    assert {r.feature for r in rows if r.subset == "all"} == {FEATURE_LABELS.get(f, f.replace("_", " ")) for f in features}
+    assert any(r.importance > 0 for r in rows)

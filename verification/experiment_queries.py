@@ -137,6 +137,12 @@ def permutation_importance(spark, sf_dir):
     return ex.feature_attribution(mart(spark, sf_dir), SMALL_FOREST)["importance"]
 
 
+@query("E9_booster_attribution")
+def booster_attribution(spark, sf_dir):
+    """The operator's default, the tuned booster."""
+    return ex.feature_attribution(mart(spark, sf_dir))["importance"]
+
+
 @query("S18_model_persistence", assemble("SELECT count(*) AS n_scored, TRUE AS same_predictions, TRUE AS beats_constant FROM mart", ["mart"]))
 def model_persistence(spark, sf_dir):
     """The loaded model predicts what the model in memory predicts."""
