@@ -17,6 +17,7 @@ from furrow.llm.quality import fit_quality, held_out, learnable, score_quality
 from furrow.llm.secrets import BASE, scan_secrets
 from furrow.llm.shards import shard_documents
 from furrow.llm.substring_dedup import remove_repeats
+from furrow.llm.suffix_dedup import remove_repeats as remove_repeated_bytes
 from furrow.llm.warc import archive_folder, read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +99,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
+
+@query
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
 # SQL of the operators that SQL can express.
 
 ORACLES["op1_warc"] = r"""
@@ -133,3 +140,20 @@ a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FR
 l AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.pos) AS kept, count(*) AS n_left FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.pos = g.pos WHERE g.pos IS NULL GROUP BY a.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_left, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN l ON w.doc_id = l.doc_id
 """
+
+ORACLES["op13_suffix_array_dedup"] = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 99)) AS i FROM t),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS d FROM p),
+m AS (SELECT d, min(doc_id * 4294967296 + i) AS low FROM k GROUP BY d HAVING count(*) > 1),
+g AS (SELECT doc_id, i FROM k JOIN m ON k.d = m.d WHERE doc_id * 4294967296 + i > low),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS b FROM g),
+r AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+x AS (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM r GROUP BY doc_id, run),
+y AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM x),
+z AS (SELECT y.doc_id, sum(hi - lo) AS gone, count(*) AS runs, max(hi) AS last,
+             string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS left_hex FROM y JOIN t ON y.doc_id = t.doc_id GROUP BY y.doc_id)
+SELECT t.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_hex, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN z ON t.doc_id = z.doc_id
+"""
