@@ -11,6 +11,7 @@ from furrow.llm.bpe_trie import encode_documents
 from furrow.llm.common import table
 from furrow.llm.decontaminate import contaminated
 from furrow.llm.fingerprints import edited_likeness
+from furrow.llm.hard_negatives import hard_negatives
 from furrow.llm.html_text import extract_pages
 from furrow.llm.ngram_join import similar_components
 from furrow.llm.quality import fit_quality, held_out, learnable, score_quality
@@ -18,6 +19,7 @@ from furrow.llm.secrets import BASE, scan_secrets
 from furrow.llm.shards import shard_documents
 from furrow.llm.substring_dedup import remove_repeats
 from furrow.llm.suffix_dedup import remove_repeats as remove_repeated_bytes
+from furrow.llm.vector_codes import encode_vectors, with_label_error
 from furrow.llm.warc import archive_folder, read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +102,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_label_error(encode_vectors(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives(rows, is_anchor=F.col("vec_id") % 100 == 0)
+
+
 @query
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_bytes(table(spark, sf_dir, "documents"))
@@ -143,8 +157,10 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_l
 
 ORACLES["op13_suffix_array_dedup"] = r"""
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 99)) AS i FROM t),
-k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS d FROM p),
+o AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 99, 200)) AS since FROM t),
+q AS (SELECT doc_id, since, substr(h, 2 * since + 1, 598) AS part FROM o),
+p AS (SELECT doc_id, since, part, unnest(range(0, CAST(length(part) / 2 AS BIGINT) - 99)) AS j FROM q),
+k AS (SELECT doc_id, since + j AS i, md5(substr(part, 2 * j + 1, 200)) AS d FROM p),
 m AS (SELECT d, min(doc_id * 4294967296 + i) AS low FROM k GROUP BY d HAVING count(*) > 1),
 g AS (SELECT doc_id, i FROM k JOIN m ON k.d = m.d WHERE doc_id * 4294967296 + i > low),
 s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS b FROM g),
@@ -157,3 +173,49 @@ SELECT t.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0
        CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_hex, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM t LEFT JOIN z ON t.doc_id = z.doc_id
 """
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The codebook rounds as a chain of tables: p has the parts' components, b<r> the codebooks, a<r> the nearest entries."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, part, min(d * 256 + entry) AS m FROM (
+  SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS d FROM p JOIN b{r} b ON p.part = b.part AND p.pos = b.pos
+  GROUP BY p.vec_id, p.part, b.entry) t GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN (
+  SELECT p.part, a.m % 256 AS entry, p.pos, CAST(floor(CAST(sum(p.x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+  FROM p JOIN a{r} a ON p.vec_id = a.vec_id AND p.part = a.part GROUP BY p.part, a.m % 256, p.pos) n
+  ON b.part = n.part AND b.entry = n.entry AND b.pos = n.pos)""")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+  row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, place, len(v) AS n, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM k),
+p AS MATERIALIZED (SELECT vec_id, place, CAST(floor(i * 4.0 / n) AS BIGINT) AS part, CAST(i - floor(i * 4.0 / n) * n / 4 AS BIGINT) AS pos, CAST(x AS BIGINT) AS x FROM u),
+b0 AS MATERIALIZED (SELECT part, place AS entry, pos, x FROM p WHERE place < 256),
+{", ".join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', CAST(m % 256 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum((m - m % 256) / 256) AS BIGINT) AS error
+      FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.codebooks_sha256
+FROM c JOIN k ON c.vec_id = k.vec_id CROSS JOIN h
+"""
+
+
+ORACLES["op11_vector_code_compression"] = _codes_sql()
+
+ORACLES["op12_hard_negative_mining"] = r"""
+WITH k AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS MATERIALIZED (SELECT vec_id, label, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM k),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM u a JOIN u b ON a.i = b.i WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id GROUP BY a.vec_id, b.vec_id, a.label, b.label),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
