@@ -32,7 +32,7 @@ from furrow.llm.common import NO_ID, Membership, keyed
 from furrow.llm.words import _buffer, mix, slide_min, strings
 from furrow.session import counted_cut, cut_lineage
 
-PIECE, SLICE = 1 << 20, 256
+PIECE, SLICE = 1 << 17, 256  # blocks of this size stay in a core's cache
 _PLACE = np.uint64(24)  # bits of a position inside a block, which is far below 16 MB
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _RANGES = "rid long, sig long, lo int, hi int"
@@ -104,10 +104,11 @@ def stretches(block: Block, width: int, gram: int) -> tuple[np.ndarray, np.ndarr
 def _counts(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text"), width):
-                _, _, minimiser, again = stretches(block, width, gram)
-                value, of = np.unique(minimiser, return_inverse=True)
-                n = np.bincount(of, weights=1 + again, minlength=len(value)).astype(np.int64)
+            found = [stretches(block, width, gram)[2:] for block in blocks(batch.column("text"), width)]
+            if found:
+                minimiser, again = (np.concatenate(x) for x in zip(*found, strict=True))
+                # one that comes again in its stretch counts twice
+                value, n = np.unique(np.concatenate([minimiser, minimiser[again]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["m", "n"])
     return run
 
