@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.order_stats import exact_percentiles, value_counts_long
+from furrow.operators.moments import PatternImputer, RegressionChain, grouped_moments, largest_moves, pattern_of
 from furrow.session import cut_lineage
 
 # Numeric policy of each profile and the category that stands for a missing one.
@@ -19,6 +20,7 @@ PROFILES = {"linear": ("median", "standard"), "tree": ("median", "standard"), "b
             "native_missing": ("none", "none")}
 MISSING_CATEGORY = "__CONSTANT__"
 SENTINEL = -1.0e6
+MAX_PATTERNS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -210,9 +212,69 @@ def _least_squares(df: DataFrame, inputs: list[str], label: str, centres: dict[s
     return [float(w) for w in weights], float(means[-1] - weights @ means[:-1])
 
 
+def fit_imputers(train: DataFrame, columns: list[str], k: int, rounds: int = 10, tolerance: float = 1e-3,
+                 others: list[DataFrame] = ()) -> dict[int, PatternImputer] | None:
+    """Iterative imputation for every fold of ``train`` (column ``fold``): imputer f is fitted on the rows outside fold f.
+
+    Missing values start as the training medians; in each round every column with gaps, fewest first, is regressed on the others
+    and its gaps take the prediction. A row's state is an affine map of what it has, given by its pattern of gaps, so the
+    moments of each (fold, pattern) hold all that the rounds need: one pass for those, one more only if the moments leave open in
+    which round no value moved more than the tolerance times the largest value. ``others`` are rows to be filled later, read
+    for their patterns. None if there are more than ``MAX_PATTERNS`` patterns.
+    """
+    stats = fold_statistics(train, columns, k)
+    sides = train.groupBy("fold").agg(F.count("*").alias("rows"), *[F.max(F.abs(F.col(c).cast("double"))).alias(f"top_{c}") for c in columns],
+                                      *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in columns]).collect()
+    seen = {c: [(r["rows"], r[f"mean_{c}"]) for r in sides if r[f"mean_{c}"] is not None] for c in columns}
+    centres = np.array([sum(n * m for n, m in seen[c]) / sum(n for n, _ in seen[c]) if seen[c] else 0.0 for c in columns])
+    found = reduce(DataFrame.unionByName, [d.select(pattern_of(columns).alias("p")) for d in (train, *others)]).distinct()
+    patterns = np.array(sorted(r["p"] for r in found.limit(MAX_PATTERNS + 1).collect()), dtype=np.int64)
+    if len(patterns) > MAX_PATTERNS:
+        return None
+    shifted = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, centres)]
+    span = 1 << len(columns)
+    moments = grouped_moments(train, F.col("fold").cast("long") * F.lit(span) + pattern_of(columns), shifted)
+    none = np.zeros((len(columns) + 1, len(columns) + 1))
+    chains, limits = {}, {}
+    for fold in range(k):
+        sums = np.array([sum((m for key, m in moments.items() if key % span == p and key // span != fold), none) for p in patterns.tolist()])
+        own = stats[fold]
+        order = [columns.index(c) for c in sorted(columns, key=lambda c: own[c].n_rows - own[c].n) if 0 < own[c].n < own[c].n_rows]
+        start = np.array([own[c].median for c in columns]) - centres
+        limits[fold] = tolerance * max((r[f"top_{c}"] for r in sides if r["fold"] != fold for c in columns if r[f"top_{c}"] is not None),
+                                       default=0.0)
+        chains[fold] = RegressionChain(patterns, sums.reshape(len(patterns), *none.shape), start, order)
+        for _ in range(rounds if len(columns) > 1 and order else 0):
+            chains[fold].step()
+    # the bound must clear the limit by more than rounding does
+    open_rounds = {f: [r for r in range(1, len(c.rounds)) if c.least_move(r) < limits[f] * (1 + 1e-9)] for f, c in chains.items()}
+    open_rounds = {f: list(range(rs[0], len(chains[f].rounds))) for f, rs in open_rounds.items() if rs}
+    moves = largest_moves(train, columns, centres, patterns, chains, open_rounds) if open_rounds else {}
+    out = {}
+    for fold, chain in chains.items():
+        ends = [r for r in open_rounds.get(fold, ()) if moves.get((fold, r), 0.0) < limits[fold]]
+        last = chain.rounds[ends[0] if ends else -1]
+        out[fold] = PatternImputer(columns, centres, dict(zip(patterns.tolist(), last)))
+    return out
+
+
 def iterative_impute(train: DataFrame, others: list[DataFrame], columns: list[str], rounds: int = 10,
                      tolerance: float = 1e-3) -> tuple[DataFrame, list[DataFrame]]:
-    """Fill missing values by regressing each column on the others, in rounds, starting from the medians.
+    """Fill missing values by regressing each column on the others, in rounds, starting from the medians; see ``fit_imputers``.
+
+    ``others`` are filled with the same sequence of coefficients. Tables with more than ``MAX_PATTERNS`` patterns of gaps take
+    one aggregation for each column and round instead.
+    """
+    marked = train.withColumn("fold", F.lit(1))  # outside fold 0, so all of it trains
+    imputers = fit_imputers(marked, columns, 1, rounds, tolerance, others)
+    if imputers is None:
+        return impute_by_scans(train, others, columns, rounds, tolerance)
+    return imputers[0].transform(train), [imputers[0].transform(d) for d in others]
+
+
+def impute_by_scans(train: DataFrame, others: list[DataFrame], columns: list[str], rounds: int = 10,
+                    tolerance: float = 1e-3) -> tuple[DataFrame, list[DataFrame]]:
+    """The same imputation with a pass for each column and round, for any number of patterns.
 
     Every regression is one aggregation (sums of products) over the training rows that have the column. The order is
     fewest missing first; a round ends early when no filled value moved more than the tolerance times the largest value.

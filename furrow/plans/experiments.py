@@ -17,10 +17,11 @@ from furrow.functions.order_stats import positions
 from furrow.operators import attribution, evaluation, folds
 from furrow.operators.baselines import predict_env_mean, predict_mean
 from furrow.operators.features import (
-    encoded_names, fold_statistics, full_statistics, iterative_impute, numeric_sql, preprocessor,
+    encoded_names, fit_imputers, fold_statistics, full_statistics, iterative_impute, numeric_sql, preprocessor,
 )
 from furrow.operators.headers import require_columns
 from furrow.operators.knn import knn_impute
+from furrow.operators.moments import PatternImputer
 from furrow.operators.models import FittedModel, ModelSpec, fit_model
 from furrow.schema import CATEGORICAL, ENV, GROUP, KEYS, NUMERIC, TARGET
 from furrow.session import cut_lineage
@@ -132,13 +133,14 @@ def out_of_fold(data: DataFrame, specs: list[ModelSpec], k: int, roles: Roles =
     if learned:
         train_all = data.where(kept)
         stats = fold_statistics(train_all, roles.numeric, k)
+        imputers = (fit_imputers(train_all, roles.numeric, k, policy.rounds, others=[test_rows]) if policy.impute == "iterative" else None) or {}
 
         def one_fold(fold: int) -> list[DataFrame]:
             test = test_rows.where(F.col("fold") == fold)
             if not any(s.n_rows for s in stats[fold].values()):
                 return [_predictions(test.withColumn("y_pred", F.lit(None).cast("double")), s.key, roles)
                         for s in learned]
-            return _fit_fold(train_all.where(F.col("fold") != fold), test, stats[fold], learned, roles, policy)
+            return _fit_fold(train_all.where(F.col("fold") != fold), test, stats[fold], learned, roles, policy, imputers.get(fold))
 
         with ThreadPoolExecutor(max_workers=max(1, policy.parallelism)) as pool:
             run = inheritable_thread_target(data.sparkSession)(one_fold)
@@ -148,11 +150,13 @@ def out_of_fold(data: DataFrame, specs: list[ModelSpec], k: int, roles: Roles =
 
 
 def _fit_fold(train: DataFrame, test: DataFrame, stats: dict, specs: list[ModelSpec], roles: Roles,
-              policy: Policy) -> list[DataFrame]:
+              policy: Policy, imputer: PatternImputer | None = None) -> list[DataFrame]:
     impute = policy.impute
     if impute == "knn":
         train, test = (knn_impute(train, train, roles.numeric, KNN_NEIGHBOURS, "row_no", "row_no"),
                        knn_impute(train, test, roles.numeric, KNN_NEIGHBOURS, "row_no", "row_no"))
+    elif imputer is not None:
+        train, test = imputer.transform(train), imputer.transform(test)
     elif impute == "iterative":
         train, (test,) = iterative_impute(train, [test], roles.numeric, policy.rounds)
     if impute in ("knn", "iterative"):
