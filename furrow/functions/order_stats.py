@@ -7,6 +7,7 @@ work; positions come from exact range totals plus a window inside one range, so
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,16 +16,21 @@ from pyspark.sql import functions as F
 from furrow.session import counted_cut, cut_lineage, order_buckets
 
 BROADCAST_CELLS = 500_000
+SKETCH_K = 1024
+# Three times the usual bound of the rank error of such a sketch: only the amount of work depends on it, never a result.
+RANK_SLACK = 3 * 2.446 / SKETCH_K ** 0.9433
 
 
-def value_counts_long(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by..., column, value, n) of the non-null values; the count is combined before the shuffle."""
+def values_long(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., column, value) of the non-null values."""
     by = by or []
     doubles = [F.col(f"`{c}`").cast("double").alias(c) for c in columns]
-    return (df.select(*by, *doubles)
-            .unpivot(by, columns, "column", "value")
-            .where(F.col("value").isNotNull())
-            .groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
+    return df.select(*by, *doubles).unpivot(by, columns, "column", "value").where(F.col("value").isNotNull())
+
+
+def value_counts_long(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., column, value, n) of the non-null values; the count is combined before the shuffle."""
+    return values_long(df, columns, by).groupBy(*(by or []), "column", "value").agg(F.count("*").alias("n"))
 
 
 def _ranges(counts: DataFrame, by: list[str], value: str, n: str) -> tuple[DataFrame, list[str]]:
@@ -93,6 +99,103 @@ def exact_percentiles(counts: DataFrame, by: list[str], probabilities: dict[str,
     return picked.select(*by, F.col("total").alias("n_values"), *[interpolated(name) for name in at])
 
 
+def _bracket(sketch: Column, n: Column, p: float) -> tuple[Column, Column]:
+    """A low and a high value that hold the wanted positions unless the sketch errs by more than the slack; a small group is all inside."""
+    small = n < F.lit(int(4 / abs(RANK_SLACK)) + 1)
+    low, high = p - RANK_SLACK, p + RANK_SLACK
+    lo, hi = F.lit(float("-inf")), F.lit(float("inf"))
+    if low > 0:
+        lo = F.when(small, lo).otherwise(F.kll_sketch_get_quantile_double(sketch, F.lit(low)))
+    if high < 1:
+        hi = F.when(small, hi).otherwise(F.kll_sketch_get_quantile_double(sketch, F.lit(high)))
+    return lo, hi
+
+
+def _cells(values: DataFrame, keys: list[str], brackets: DataFrame, n_brackets: int) -> DataFrame:
+    """(values' keys..., cell, value, n): values inside a bracket one by one, the others as one count for each gap between.
+
+    ``cell`` counts the brackets' ends below a value, so in order of (cell, value), null first, rows come in the order of their values.
+    """
+    hint = F.broadcast if n_brackets <= BROADCAST_CELLS else (lambda side: side)
+    side = brackets.select(*[F.col(k).alias(f"__b_{k}") for k in keys], "__los", "__his")
+    match = reduce(lambda a, b: a & b, [values[k].eqNullSafe(side[f"__b_{k}"]) for k in keys])
+    below = F.size(F.filter("__his", lambda x: x < F.col("value")))
+    inside = F.size(F.filter("__los", lambda x: x <= F.col("value"))) > below
+    own = [c for c in values.columns if c != "value"]
+    return (values.join(hint(side), match).select(*own, below.alias("cell"), F.when(inside, F.col("value")).alias("value"))
+            .groupBy(*own, "cell", "value").agg(F.count("*").alias("n")))
+
+
+def _picked(cells: DataFrame, count: int, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Percentiles by the keys from (keys..., cell, value, n); a column is null where its position is in no bracket."""
+    group = Window.partitionBy(*keys)
+    if count <= BROADCAST_CELLS:
+        order = group.orderBy("cell", F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, -1)
+        placed = cells.select(*keys, "value", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"),
+                              F.sum("n").over(group).alias("total"))
+    else:
+        gaps = cells.groupBy(*keys, "cell").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("gap"),
+                                                F.sum("n").alias("all"))
+        gaps = gaps.select(*[F.col(k).alias(f"__g_{k}") for k in keys], F.col("cell").alias("__cell"),
+                           F.sum("gap").over(Window.partitionBy(*keys).orderBy("cell")).alias("gap"),
+                           F.sum("all").over(group).alias("total"))
+        among = positions(cells.where("value IS NOT NULL"), keys).drop("total")
+        match = reduce(lambda a, b: a & b, [among[k].eqNullSafe(gaps[f"__g_{k}"]) for k in keys]) & (among["cell"] == gaps["__cell"])
+        placed = among.join(gaps, match).select(*keys, "value", "n", (F.col("before") + F.col("gap")).alias("before"), "total")
+    at = {name: F.lit(float(p)) * (F.col("total") - 1) for name, p in probabilities.items()}
+
+    def value_at(index: Column) -> Column:
+        return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col("value")))
+
+    ends = placed.groupBy(*keys).agg(F.max("total").alias("total"), *[
+        value_at(f(at[name])).alias(f"__{name}_{side}") for name in at for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    return ends.select(*keys, F.col("total").alias("n_values"), *[
+        (F.col(f"__{name}_lo") + (at[name] - F.floor(at[name])) * (F.col(f"__{name}_hi") - F.col(f"__{name}_lo"))).alias(name) for name in at])
+
+
+def percentiles(df: DataFrame, columns: list[str], by: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated percentiles of each column and group, in two passes that keep no column.
+
+    Sketches of the first pass bracket the wanted positions; the second pass counts what lies between the brackets and keeps only
+    the values inside. The positions come from those counts, so they are exact; a group whose position is in no bracket
+    (a sketch that erred) is seen, and then all groups are computed from full value counts.
+    """
+    keys = [*by, "column"]
+    values = values_long(df, columns, by)
+    sketched = values.groupBy(*keys).agg(F.kll_sketch_agg_double("value", F.lit(SKETCH_K)).alias("__s"), F.count("*").alias("__n"))
+    pairs = [_bracket(F.col("__s"), F.col("__n"), p) for p in sorted(probabilities.values())]
+    brackets, n = counted_cut(sketched.select(*keys, F.array(*[lo for lo, _ in pairs]).alias("__los"), F.array(*[hi for _, hi in pairs]).alias("__his")))
+    cells, count = counted_cut(_cells(values, keys, brackets, n * 2 * len(pairs)))
+    result = cut_lineage(_picked(cells, count, keys, probabilities))
+    if result.where(reduce(lambda a, b: a | b, [F.col(name).isNull() for name in probabilities])).isEmpty():
+        return result
+    return exact_percentiles(values_long(df, columns, by).groupBy(*keys, "value").agg(F.count("*").alias("n")), keys, probabilities)
+
+
+def set_medians(df: DataFrame, columns: list[str], part: str, sets: dict[int, Iterable[int]]) -> DataFrame:
+    """(set, column, n_values, median) of unions of parts: each set is a list of values of the integer column ``part``.
+
+    Any number of sets takes the same two passes over the rows: sketches and counts are made for each part and added up.
+    """
+    spark = df.sparkSession
+    members = spark.createDataFrame([(s, p) for s, ps in sets.items() for p in ps] or [], "set int, part int")
+    values = values_long(df.withColumn("part", F.col(part).cast("int")), columns, ["part"])
+    sketched = cut_lineage(values.groupBy("part", "column").agg(F.kll_sketch_agg_double("value", F.lit(SKETCH_K)).alias("s"), F.count("*").alias("n")))
+    merged = sketched.join(F.broadcast(members), "part").groupBy("set", "column").agg(
+        F.kll_merge_agg_double("s").alias("__s"), F.sum("n").alias("__n"))
+    lo, hi = _bracket(F.col("__s"), F.col("__n"), 0.5)
+    brackets = cut_lineage(merged.select("column", lo.alias("lo"), hi.alias("hi")).groupBy("column").agg(
+        F.sort_array(F.collect_list("lo")).alias("__los"), F.sort_array(F.collect_list("hi")).alias("__his")))  # a row for each set
+    cells = cut_lineage(_cells(values, ["column"], brackets, 2 * len(columns) * len(sets)))
+    added, count = counted_cut(cells.join(F.broadcast(members), "part").groupBy("set", "column", "cell", "value").agg(F.sum("n").alias("n")))
+    result = cut_lineage(_picked(added, count, ["set", "column"], {"median": 0.5}))
+    if result.where("median IS NULL").isEmpty():
+        return result
+    counts = (values.groupBy("part", "column", "value").agg(F.count("*").alias("n")).join(F.broadcast(members), "part")
+              .groupBy("set", "column", "value").agg(F.sum("n").alias("n")))
+    return exact_percentiles(counts, ["set", "column"], {"median": 0.5})
+
+
 def average_rank(df: DataFrame, value: str, by: list[str], rank: str = "rank", descending: bool = False) -> DataFrame:
     """Rank with ties averaged, within the groups ``by``; NULL values get no rank.
 

@@ -11,7 +11,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.order_stats import exact_percentiles, value_counts_long
+from furrow.functions.order_stats import set_medians, value_counts_long
 from furrow.operators.moments import PatternImputer, RegressionChain, grouped_moments, largest_moves, pattern_of
 from furrow.session import cut_lineage
 
@@ -61,7 +61,9 @@ def training_counts(kept: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 def training_medians(kept: DataFrame, columns: list[str], k: int) -> DataFrame:
     """(held_out, column, median) of the rows outside each fold."""
-    return exact_percentiles(training_counts(kept, columns, k), ["held_out", "column"], {"median": 0.5})
+    # with one fold, what lies outside is whatever number the caller gave it
+    sets = {f: [g for g in range(max(k, 2)) if g != f] for f in range(k)}
+    return set_medians(kept, columns, "fold", sets).select(F.col("set").alias("held_out"), "column", "median")
 
 
 def fold_statistics(kept: DataFrame, columns: list[str], k: int) -> dict[int, dict[str, NumericStats]]:

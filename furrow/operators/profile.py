@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.cleaning import environment_id, missing_band, missing_fraction
-from furrow.functions.order_stats import exact_percentiles, value_counts_long
+from furrow.functions.order_stats import exact_percentiles, percentiles, values_long
 from furrow.functions.stats import safe_corr
 from furrow.schema import BANDS, CATEGORICAL, ENV, GROUP, NUMERIC, TARGET
 
@@ -29,7 +29,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}__{n}") for c in columns for n, f in parts.items()])
     basics = _stack(wide, [{"column": F.lit(c), **{n: F.col(f"{c}__{n}") for n in parts}} for c in columns])
-    quartiles = exact_percentiles(value_counts_long(df, columns), ["column"], QUARTILES).drop("n_values")
+    quartiles = percentiles(df, columns, [], QUARTILES).drop("n_values")
     return basics.join(quartiles, "column", "left")
 
 
@@ -66,14 +66,13 @@ def _fences() -> tuple[Column, Column]:
 
 def box_summary(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Quartiles and whiskers (extreme values inside 1.5 IQR) per group; one row per (by..., column)."""
-    counts = value_counts_long(df, columns, by)
     keys = [*by, "column"]
-    quartiles = exact_percentiles(counts, keys, QUARTILES)
+    quartiles = percentiles(df, columns, by, QUARTILES)
     low, high = _fences()
     inside = F.col("value").between(low, high)
-    same = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys])
-    whiskers = (counts.alias("c").join(quartiles.alias("q"), same)
-                .select(*[f"c.{k}" for k in keys], "value", "n", *QUARTILES, "n_values"))
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys])
+    whiskers = (values_long(df, columns, by).alias("v").join(quartiles.alias("q"), same)
+                .select(*[f"v.{k}" for k in keys], "value", *QUARTILES, "n_values"))
     return whiskers.groupBy(*keys).agg(
         F.max("n_values").alias("n"),
         *[F.max(q).alias(q) for q in QUARTILES],
@@ -83,11 +82,9 @@ def box_summary(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
     """Values outside the 1.5 IQR fences per column, as a count and a percentage of the non-null values."""
-    counts = value_counts_long(df, columns)
     low, high = _fences()
-    flagged = counts.join(exact_percentiles(counts, ["column"], {"q1": 0.25, "q3": 0.75}), "column")
-    outside = (F.col("value") < low) | (F.col("value") > high)
-    n_out = F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0))
+    flagged = values_long(df, columns).join(percentiles(df, columns, [], {"q1": 0.25, "q3": 0.75}), "column")
+    n_out = F.count_if((F.col("value") < low) | (F.col("value") > high))
     return (flagged.groupBy("column")
             .agg(n_out.alias("n_outliers"),
                  F.round(100 * n_out / F.max("n_values"), 2).alias("pct"))
