@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -23,6 +23,7 @@ from furrow.operators.headers import require_columns
 from furrow.operators.knn import knn_impute
 from furrow.operators.moments import PatternImputer
 from furrow.operators.models import FittedModel, ModelSpec, fit_model
+from furrow.operators.ridge_folds import RidgeFolds, RidgeRun
 from furrow.schema import CATEGORICAL, ENV, GROUP, KEYS, NUMERIC, TARGET
 from furrow.session import cut_lineage
 
@@ -88,12 +89,12 @@ def with_folds(prepared: DataFrame, k: int, roles: Roles = Roles()) -> DataFrame
     return cut_lineage(folds.group_kfold(prepared.drop("fold"), roles.group, k))
 
 
-def _predictions(df: DataFrame, model: str, roles: Roles) -> DataFrame:
+def _predictions(df: DataFrame, model: str | Column, roles: Roles, *more: str) -> DataFrame:
     return df.select(
-        F.lit(model).alias("model"), "fold", "row_id", F.col(roles.group).alias("name1"),
+        (F.lit(model) if isinstance(model, str) else model).alias("model"), "fold", "row_id", F.col(roles.group).alias("name1"),
         F.col("env_label").alias("env_type"), F.col(roles.target).alias("y_true"),
         F.col("y_pred").cast("double").alias("y_pred"), F.col(roles.target).isNotNull().alias("y_observed"),
-        F.col("missing_frac").alias("x_missing_frac"), "missing_band")
+        F.col("missing_frac").alias("x_missing_frac"), "missing_band", *more)
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,11 @@ def out_of_fold(data: DataFrame, specs: list[ModelSpec], k: int, roles: Roles =
             if policy.test_where is not None:
                 predicted = predicted.where(policy.test_where)
             parts.append(_predictions(predicted, spec.key, roles))
-    learned = [s for s in specs if s.profile != "baseline"]
+    summed = [s for s in specs if s.name == "ridge"] if ridge_run(policy) else []
+    if summed:
+        parts.append(_ridge_predictions(data.where(kept), test_rows if only is None else test_rows.where(F.col("fold").isin(only)), k, roles,
+                                        [(s.key, ridge_run(policy, s)) for s in summed]).drop("run"))
+    learned = [s for s in specs if s.profile != "baseline" and s not in summed]
     if learned:
         train_all = data.where(kept)
         stats = fold_statistics(train_all, roles.numeric, k)
@@ -149,6 +154,22 @@ def out_of_fold(data: DataFrame, specs: list[ModelSpec], k: int, roles: Roles =
     return evaluation.union_folds(parts)
 
 
+def ridge_run(policy: Policy, spec: ModelSpec = ModelSpec("ridge")) -> RidgeRun | None:
+    """The run of a ridge model whose imputation is one value a column; None for the other imputations."""
+    if policy.native_missing or policy.impute not in (None, "median", "mean"):
+        return None
+    flags = True if policy.indicators is None else policy.indicators
+    return RidgeRun(policy.threshold, float(spec.params.get("alpha", 1.0)), policy.impute or "median", flags)
+
+
+def _ridge_predictions(train: DataFrame, test: DataFrame, k: int, roles: Roles, runs: list[tuple[str, RidgeRun]]) -> DataFrame:
+    """Predictions of all runs in one plan; the models come from one table of sums."""
+    fits = RidgeFolds(train, k, roles.target, roles.numeric, roles.categorical)
+    scored = fits.predict(test, [run for _, run in runs])
+    names = F.array(*[F.lit(name) for name, _ in runs])
+    return _predictions(scored, names[F.col("run")], roles, "run")
+
+
 def _fit_fold(train: DataFrame, test: DataFrame, stats: dict, specs: list[ModelSpec], roles: Roles,
               policy: Policy, imputer: PatternImputer | None = None) -> list[DataFrame]:
     impute = policy.impute
@@ -193,11 +214,18 @@ def model_selection(df: DataFrame, specs: list[ModelSpec] = MODEL_SPECS, k: int
 
 
 def threshold_sweep(df: DataFrame, specs: list[ModelSpec], thresholds: list[float] = THRESHOLDS, k: int = 5,
-                    roles: Roles = Roles(), strategy: str = "avg_models_rmse") -> dict[str, DataFrame]:
-    """Every model under every training-missingness threshold, and the threshold to use."""
+                    roles: Roles = Roles(), strategy: str = "avg_models_rmse", policy: Policy = Policy()) -> dict[str, DataFrame]:
+    """Every model under every training-missingness threshold, and the threshold to use. All thresholds of ridge take one scan."""
     data = with_folds(prepare(df, roles), k, roles)
-    parts = [out_of_fold(data, specs, k, roles, Policy(threshold=t)).withColumn("threshold", F.lit(float(t)))
-             for t in thresholds]
+    ridge = [s for s in specs if s.name == "ridge"]
+    ridge = ridge if ridge_run(policy) else []
+    others = [s for s in specs if s not in ridge]
+    parts = [out_of_fold(data, others, k, roles, replace(policy, threshold=t)).withColumn("threshold", F.lit(float(t)))
+             for t in thresholds if others]
+    if ridge:  # one table of sums for all thresholds
+        runs = [(s.key, float(t), ridge_run(replace(policy, threshold=t), s)) for s in ridge for t in thresholds]
+        scored = _ridge_predictions(data.where(F.col(roles.target).isNotNull()), data, k, roles, [(name, run) for name, _, run in runs])
+        parts.append(scored.withColumn("threshold", F.array(*[F.lit(t) for _, t, _ in runs])[F.col("run")]).drop("run"))
     predictions = cut_lineage(evaluation.union_folds(parts))
     metrics = evaluation.subset_metrics(predictions, ["model", "threshold", "fold"])
     results = evaluation.summarise(metrics, ["model", "threshold"]).orderBy("model", "threshold")
@@ -264,9 +292,17 @@ def parameter_search(data: DataFrame, model: str, space: dict[str, tuple], n_tri
     rng = np.random.default_rng(seed)
     draws = ([dict(first)] if first else []) + [sample_params(space, rng) for _ in range(n_trials)]
     trials = []
+    specs = [ModelSpec(model, {**(fixed or {}), **model_params(params)}) for params in draws[:n_trials]]
+    if model == "ridge" and ridge_run(policy) and policy.train_where is None and policy.test_where is None:
+        # all trials from one table of sums
+        kept = data.where((F.col("missing_frac") <= policy.threshold) & F.col(roles.target).isNotNull())
+        scored = cut_lineage(_ridge_predictions(kept, data, k, roles, [(str(i), ridge_run(policy, s)) for i, s in enumerate(specs)]))
+        errors = evaluation.subset_metrics(scored, ["model", "fold"], ["all"]).groupBy("model").agg(F.avg("rmse").alias("v"))
+        found = {int(r["model"]): r["v"] for r in errors.collect()}
+        trials = [(i, float("inf") if found.get(i) is None else found[i], params) for i, params in enumerate(draws[:n_trials])]
+        return min(trials, key=lambda t: t[1])[2], trials
     for number, params in enumerate(draws[:n_trials]):
-        spec = ModelSpec(model, {**(fixed or {}), **model_params(params)})
-        metrics = evaluation.subset_metrics(out_of_fold(data, [spec], k, roles, policy), ["model", "fold"], ["all"])
+        metrics = evaluation.subset_metrics(out_of_fold(data, [specs[number]], k, roles, policy), ["model", "fold"], ["all"])
         value = metrics.agg(F.avg("rmse").alias("v")).collect()[0]["v"]
         trials.append((number, float("inf") if value is None else value, params))
     return min(trials, key=lambda t: t[1])[2], trials

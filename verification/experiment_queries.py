@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from furrow.operators.models import ModelSpec
@@ -90,13 +91,112 @@ def baseline_threshold_sweep(spark, sf_dir):
 
 @query("E2_threshold_sweep")
 def threshold_sweep(spark, sf_dir):
-    return ex.threshold_sweep(mart(spark, sf_dir), [RIDGE], [0.2, 0.5, 1.0])["summary"]
+    """Ridge on all features under all thresholds."""
+    return ex.threshold_sweep(mart(spark, sf_dir), [RIDGE])["summary"]
+
+
+# Ridge on two features, solved by Cramer's rule in SQL for every training set, way of filling and penalty.
+
+PAIR = ex.Roles(numeric=["appearance", "tubersize"], categorical=[])
+PLAIN = ex.Policy(indicators=False)
+_SETS = "threshold, held_out"
+_SINGLE = ("SELECT threshold, held_out, '{how}' AS strategy, {agg_a} AS fa, {agg_t} AS ft FROM tr GROUP BY threshold, held_out")
+_FILLS = {
+    "fm": _SINGLE.format(how="median", agg_a="quantile_cont(a, 0.5)", agg_t="quantile_cont(t, 0.5)"),
+    "fa": _SINGLE.format(how="mean", agg_a="avg(a)", agg_t="avg(t)"),
+}
+# one round: appearance on the filled size, then size on the filled appearance
+_CHAIN = {
+    "c1": "SELECT threshold, held_out, regr_slope(a, coalesce(t, ft)) AS s1, regr_intercept(a, coalesce(t, ft)) AS i1 "
+          "FROM tr JOIN fm USING (threshold, held_out) GROUP BY threshold, held_out",
+    "c2": "SELECT threshold, held_out, regr_slope(t, coalesce(a, i1 + s1 * coalesce(t, ft))) AS s2, "
+          "regr_intercept(t, coalesce(a, i1 + s1 * coalesce(t, ft))) AS i2 "
+          "FROM tr JOIN fm USING (threshold, held_out) JOIN c1 USING (threshold, held_out) GROUP BY threshold, held_out",
+}
+
+
+def _filled(rows: str, chain: bool) -> str:
+    """The rows of a (threshold, held_out) relation, once for each way of filling them."""
+    plain = f"SELECT {_SETS}, strategy, row_id, fold, y, coalesce(a, fa) AS x1, coalesce(t, ft) AS x2 FROM {rows} JOIN "
+    both = f"{plain} fm USING (threshold, held_out)"
+    if chain:
+        both += (f" UNION ALL {plain} fa USING (threshold, held_out) UNION ALL SELECT {_SETS}, 'iterative', row_id, fold, y, x1, coalesce(t, i2 + s2 * x1) "
+                 f"FROM (SELECT {_SETS}, row_id, fold, y, t, i2, s2, coalesce(a, i1 + s1 * coalesce(t, ft)) AS x1 FROM {rows} "
+                 "JOIN fm USING (threshold, held_out) JOIN c1 USING (threshold, held_out) JOIN c2 USING (threshold, held_out))")
+    return both
+
+
+def _pair_ctes(thresholds: str, alphas: str = "[1.0]", chain: bool = False) -> dict[str, str]:
+    return {
+        **fold_ctes("mart_rows", 5),
+        "held": "SELECT CAST(unnest(range(5)) AS INT) AS held_out", "ths": f"SELECT unnest({thresholds})::DOUBLE AS threshold",
+        "als": f"SELECT unnest({alphas})::DOUBLE AS alpha, unnest(range(len({alphas}))) AS trial",
+        "pairs": "SELECT *, concat_ws('|', name1, CAST(year AS VARCHAR), location, experiment_name, CAST(plot AS VARCHAR)) AS row_id, o_a_score AS y, "
+                 "appearance AS a, tubersize AS t, ((appearance IS NULL)::INT + (tubersize IS NULL)::INT) / 2.0::DOUBLE AS f2 FROM folded",
+        "tr": "SELECT threshold, held_out, row_id, fold, a, t, y FROM pairs JOIN held ON fold <> held_out JOIN ths ON f2 <= threshold WHERE y IS NOT NULL",
+        "te": "SELECT threshold, held_out, row_id, fold, a, t, y FROM pairs JOIN held ON fold = held_out, ths",
+        **_FILLS, **(_CHAIN if chain else {}),
+        "ftr": _filled("tr", chain), "fte": _filled("te", chain),
+        "st": f"SELECT {_SETS}, strategy, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS d1, stddev_pop(x2) AS d2, "
+              "covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS v1, covar_pop(x2, y) AS v2 FROM ftr GROUP BY threshold, held_out, strategy",
+        "ws": f"SELECT {_SETS}, strategy, trial, m1, m2, my, (k1 * s - k2 * s12) / (s * s - s12 * s12) / d1 AS b1, "
+              "(k2 * s - k1 * s12) / (s * s - s12 * s12) / d2 AS b2 FROM (SELECT *, n + alpha AS s, n * v12 / (d1 * d2) AS s12, "
+              "n * v1 / d1 AS k1, n * v2 / d2 AS k2 FROM st, als)",
+        "rp": f"SELECT {_SETS}, strategy, trial, fold, row_id, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS y_pred "
+              "FROM fte JOIN ws USING (threshold, held_out, strategy)",
+        "re": "SELECT threshold, strategy, trial, fold, sqrt(avg((y - y_pred) ** 2)) AS rmse FROM rp WHERE y IS NOT NULL GROUP BY ALL",
+    }
+
+
+def _mart_rows(ctes: dict[str, str]) -> dict[str, str]:
+    return {"mart_rows": "SELECT * FROM mart", **ctes}
+
+
+@query("E1_ridge_two_columns",
+       assemble("SELECT fold, row_id, y AS y_true, y_pred FROM rp", ["mart"], ["y_true", "y_pred"], _mart_rows(_pair_ctes("[1.0]")), True))
+def ridge_two_columns(spark, sf_dir):
+    data = ex.with_folds(ex.prepare(mart(spark, sf_dir), PAIR), 5, PAIR)
+    return ex.out_of_fold(data, [RIDGE], 5, PAIR, PLAIN).select("fold", "row_id", "y_true", "y_pred")
+
+
+@query("E2_ridge_sweep_two_columns",
+       assemble("SELECT threshold, avg(rmse) AS rmse_all_mean, stddev_samp(rmse) AS rmse_all_std FROM re GROUP BY threshold", ["mart"],
+                ["threshold", "rmse_all_mean", "rmse_all_std"], _mart_rows(_pair_ctes(str(_THRESHOLDS))), True))
+def ridge_sweep(spark, sf_dir):
+    """Ten thresholds from one table of sums."""
+    sweep = ex.threshold_sweep(mart(spark, sf_dir), [RIDGE], _THRESHOLDS, roles=PAIR, policy=PLAIN)
+    return sweep["results"].select("threshold", "rmse_all_mean", "rmse_all_std")
+
+
+_ALPHA_SPACE = {"alpha": ("log", 1e-3, 1e3)}
+_RNG = np.random.default_rng(42)
+_ALPHAS = [ex.sample_params(_ALPHA_SPACE, _RNG)["alpha"] for _ in range(20)]
+
+
+@query("E6_ridge_search_two_columns",
+       assemble("SELECT CAST(trial AS INT) AS trial, avg(rmse) AS rmse FROM re GROUP BY trial", ["mart"], ["rmse"],
+                _mart_rows(_pair_ctes("[1.0]", str(_ALPHAS))), True))
+def ridge_search(spark, sf_dir):
+    """Twenty penalties from one table of sums."""
+    data = ex.with_folds(ex.prepare(mart(spark, sf_dir), PAIR), 5, PAIR)
+    trials = ex.parameter_search(data, "ridge", _ALPHA_SPACE, 20, 5, 42, PAIR, PLAIN)[1]
+    return ex.trials_frame(spark, trials).select("trial", "rmse")
+
+
+@query("E4_imputation_two_columns",
+       assemble("SELECT strategy, avg(rmse) AS rmse_all_mean, stddev_samp(rmse) AS rmse_all_std FROM re GROUP BY strategy", ["mart"],
+                ["rmse_all_mean", "rmse_all_std"], _mart_rows(_pair_ctes("[1.0]", chain=True)), True))
+def imputation_two_columns(spark, sf_dir):
+    """Median, mean and one round of regressions before the same ridge."""
+    ways = [("median", False), ("mean", False), ("iterative", False)]
+    out = ex.imputation_comparison(mart(spark, sf_dir), [RIDGE], ways, roles=PAIR, native_reference=None, rounds=1)
+    return out.select("strategy", "rmse_all_mean", "rmse_all_std")
 
 
 @query("E4_imputation_comparison")
 def imputation_comparison(spark, sf_dir):
-    return ex.imputation_comparison(mart(spark, sf_dir), [RIDGE], [("median", False), ("median", True), ("mean", False)],
-                                    native_reference=SMALL_BOOSTER)
+    return ex.imputation_comparison(mart(spark, sf_dir), [RIDGE],
+                                    [w for w in ex.IMPUTE_STRATEGIES if w[0] != "knn"], native_reference=SMALL_BOOSTER)
 
 
 @query("E5_nested_tuning_kernel")
@@ -108,9 +208,9 @@ def nested_tuning_kernel(spark, sf_dir):
 
 @query("E6_parameter_search")
 def parameter_search(spark, sf_dir):
+    """Twenty penalties on all features."""
     data = ex.with_folds(ex.prepare(mart(spark, sf_dir)), 3)
-    space = {"alpha": ("log", 1e-3, 1e3)}
-    return ex.trials_frame(spark, ex.parameter_search(data, "ridge", space, 3, 3, 42)[1])
+    return ex.trials_frame(spark, ex.parameter_search(data, "ridge", _ALPHA_SPACE, 20, 3, 42)[1])
 
 
 @query("E7_environment_transfer")

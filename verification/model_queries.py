@@ -189,6 +189,23 @@ def two_columns_one_round(spark, sf_dir):
     return features.iterative_impute(rows, [], ["appearance", "tubersize"], rounds=1)[0]
 
 
+@query("M6_two_columns_two_rounds",
+       assemble("SELECT plot, coalesce(appearance, i3 + s3 * t1) AS appearance, coalesce(tubersize, i4 + s4 * a2) AS tubersize FROM a2, r4", ["mart"],
+                ["appearance", "tubersize"],
+                {"md": "SELECT quantile_cont(tubersize, 0.5) AS mt FROM mart",
+                 "t": "SELECT plot, appearance, tubersize, coalesce(tubersize, mt) AS t0 FROM mart, md",
+                 "r1": "SELECT regr_slope(appearance, t0) AS s1, regr_intercept(appearance, t0) AS i1 FROM t",
+                 "a": "SELECT *, coalesce(appearance, i1 + s1 * t0) AS a1 FROM t, r1",
+                 "r2": "SELECT regr_slope(tubersize, a1) AS s2, regr_intercept(tubersize, a1) AS i2 FROM a",
+                 "t1": "SELECT *, coalesce(tubersize, i2 + s2 * a1) AS t1 FROM a, r2",
+                 "r3": "SELECT regr_slope(appearance, t1) AS s3, regr_intercept(appearance, t1) AS i3 FROM t1",
+                 "a2": "SELECT *, coalesce(appearance, i3 + s3 * t1) AS a2 FROM t1, r3",
+                 "r4": "SELECT regr_slope(tubersize, a2) AS s4, regr_intercept(tubersize, a2) AS i4 FROM a2"}))
+def two_columns_two_rounds(spark, sf_dir):
+    rows = mart(spark, sf_dir).select("plot", "appearance", "tubersize")
+    return features.iterative_impute(rows, [], ["appearance", "tubersize"], rounds=2, tolerance=0.0)[0]
+
+
 @query("M6_iterative_imputation",
        assemble(f"SELECT count(*) AS n_rows, {_cells('count({c})', ' + ')} AS n_given, TRUE AS all_filled FROM mart", ["mart"]))
 def iterative_imputation(spark, sf_dir):
