@@ -2,7 +2,8 @@
 
 The encoding of a text by merges is fixed locally: a row of tokens is the encoding exactly if every two neighbours stay apart
 when they are encoded alone. So each prefix of a word has one *last token*, and the encoding of a prefix is that of a shorter
-prefix plus its last token. The distinct words of a slice of the batch form a trie; walking it depth first (in sorted order)
+prefix plus its last token. The distinct words of a slice of the batch form a trie (words that came more than once in an
+earlier slice of the task are known already, up to ``KEPT_BYTES``); walking it depth first (in sorted order)
 keeps one last token per depth, so what words share as a prefix is computed once. The end of a word is a symbol of its own.
 
 Two tokens stay apart if no merge crosses their boundary at any time: going back in time, the parts next to the boundary are
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
@@ -26,7 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
+KEPT_BYTES = 48 << 20
 OUT_CHARS = 1 << 20
 
 
@@ -71,6 +74,9 @@ class TrieEncoder:
                 self.parts.setdefault(whole, (a, b))
                 self.made.setdefault(whole, r)
         self.apart: dict[tuple[int, int], bool] = {}
+        self.back = {s: b for b, s in self.symbols.items()}
+        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.kept_bytes = 0
         good = {i for i in self.token if i not in self.parts}
         for whole, (a, b) in sorted(self.parts.items(), key=lambda x: self.made[x[0]]):
             if a in good and b in good and self._apart(a, b, self.made[whole]):
@@ -162,9 +168,8 @@ class TrieEncoder:
             if piece in self.added:
                 out.append(self.added[piece])
             elif self.beyond(piece):
-                back = {s: b for b, s in self.symbols.items()}
                 norm = self.library.normalizer.normalize_str(piece)
-                out += [bytes(map(back.__getitem__, w)).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
+                out += [bytes(map(self.back.__getitem__, w)).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
             else:
                 out += self.split(unicodedata.normalize("NFC", piece).lower())
         return out
@@ -173,16 +178,34 @@ class TrieEncoder:
         """Per text: ids as little-endian unsigned 32-bit integers, their number, and the decoded text."""
         known: dict = {}  # one object for each distinct word: a slice has many more words than distinct ones
         rows = [[known.setdefault(w, w) for w in self.words(t)] for t in texts]
-        ids = self.encode_words([w for w in known if not isinstance(w, int)])
-        packed = {w: pack(f"<{len(x)}I", *x) for w, x in ids.items()}
-        plain = {w: self.decode(x) for w, x in ids.items()}
-        del ids, known
-        for i in self.added.values():
-            packed[i], plain[i] = pack("<I", i), self.token[i]
+        often = Counter()
+        for row in rows:
+            often.update(row)
+        kept = self.kept
+        ids = self.encode_words([w for w in known if w not in kept and not isinstance(w, int)])
+        packed, plain = {}, {}
+        for w in known:
+            if isinstance(w, int):
+                packed[w], plain[w] = pack("<I", w), self.token[w]
+            elif w in kept:
+                packed[w], plain[w] = kept[w]
+            else:
+                x = ids[w]
+                packed[w], plain[w] = both = pack(f"<{len(x)}I", *x), self.decode(x)
+                if often[w] > 1 and self.kept_bytes < KEPT_BYTES:
+                    kept[w] = both
+                    self.kept_bytes += 250 + len(w) + len(both[0]) + len(both[1])
+        del ids, known, often
         for row in rows:
             data = b"".join(map(packed.__getitem__, row))
             yield data, len(data) // 4, " ".join(map(plain.__getitem__, row))
 
+    def forget(self) -> None:
+        """Drop what was kept from slice to slice."""
+        self.kept.clear()
+        self.apart.clear()
+        self.kept_bytes = 0
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: the file names no decoder, so the library does the same."""
         return " ".join(map(self.token.__getitem__, ids))
@@ -199,25 +222,29 @@ def _encode(name: str):
         import public_tokenizers
 
         made = encoder(name if "/" in name else public_tokenizers.path(name))
-        for batch in batches:
-            column, first = batch.column("text"), 0
-            sizes = pc.binary_length(column).to_pylist()
-            while first < len(sizes):
-                last, size = first, 0
-                while last < len(sizes) and (last == first or size + sizes[last] <= SLICE_BYTES):
-                    size += sizes[last]
-                    last += 1
-                rows, begin, chars = [], first, 0
-                for k, row in enumerate(made.encode(column.slice(first, last - first).to_pylist()), first):
-                    rows.append(row)
-                    chars += len(row[2])
-                    if chars > OUT_CHARS or k == last - 1:
-                        yield pa.RecordBatch.from_arrays(
-                            [*batch.slice(begin, k + 1 - begin).drop_columns(["text"]).columns, pa.array([r[0] for r in rows], pa.binary()),
-                             pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
-                            [*(n for n in batch.schema.names if n != "text"), "ids", "n_tokens", "decoded"])
-                        rows, begin, chars = [], k + 1, 0
-                first = last
+        try:
+            for batch in batches:
+                column, first = batch.column("text"), 0
+                sizes = pc.binary_length(column).to_pylist()
+                while first < len(sizes):
+                    last, size = first, 0
+                    while last < len(sizes) and (last == first or size + sizes[last] <= SLICE_BYTES):
+                        size += sizes[last]
+                        last += 1
+                    rows, begin, chars = [], first, 0
+                    for k, row in enumerate(made.encode(column.slice(first, last - first).to_pylist()), first):
+                        rows.append(row)
+                        chars += len(row[2])
+                        if chars > OUT_CHARS or k == last - 1:
+                            yield pa.RecordBatch.from_arrays(
+                                [*batch.slice(begin, k + 1 - begin).drop_columns(["text"]).columns, pa.array([r[0] for r in rows], pa.binary()),
+                                 pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
+                                [*(n for n in batch.schema.names if n != "text"), "ids", "n_tokens", "decoded"])
+                            rows, begin, chars = [], k + 1, 0
+                    first = last
+        finally:  # the worker lives on
+            made.forget()
+            pa.default_memory_pool().release_unused()
     return run
 
 

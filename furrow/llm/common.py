@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(text).alias("sig"), text.alias("text"))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch some rows at a time, so that few texts are Python objects at once."""
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
+
+
 class Membership:
     """A one-hash bitmap of a set of longs: no false negatives, and false positives only cost work.
 

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.common import slices
 from furrow.session import cut_lineage
 
 _SMOOTH = 20  # bytes added to the size in the ratio, so that a few bytes' difference of a tiny text weighs little
@@ -150,7 +151,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, good_col: str = "quality", i
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = sent.value.scorer()
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             rest = [t.encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("good"), batch.column("h"), pa.array(map(len, rest), pa.int64()),
                                               pa.array(map(score, rest), pa.float64())], ["good", "h", "size", "value"])
@@ -168,7 +169,7 @@ def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = sent.value.scorer()
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             values, sizes = np.array([score(t) for t in texts], dtype=float), np.array([len(t) for t in texts], dtype=float)
             keep = batch.schema.names[:-1]

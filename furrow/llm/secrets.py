@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import NO_ID, Membership
+from furrow.llm.common import NO_ID, Membership, fresh
 from furrow.llm.words import _LOWER, _buffer, strings
 from furrow.session import cut_lineage
 
@@ -222,8 +222,13 @@ def _verify(rules: tuple[Rule, ...], known: dict[int, Membership]):
     return run
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of the documents and ``spans``: array of (start, end, kind) in code points, end exclusive."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
+                 spans_col: str | None = None) -> DataFrame:
+    """All columns of the documents and the spans: array of (start, end, kind) in code points, end exclusive.
+
+    Their column is ``spans``, or ``spans_`` and so on where the documents have that name, unless ``spans_col`` names it.
+    """
+    spans_col = spans_col or fresh("spans", docs.columns)
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r)) is not None}
@@ -241,7 +246,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     spans = "array<struct<start: long, end: long, kind: string>>"
     out = wide.mapInArrow(_verify(rules, known), f"{schema}, spans {spans}")
-    return out.toDF(*docs.columns, "spans") if "spans" not in docs.columns else out.toDF(*docs.columns, "secret_spans")
+    return out.toDF(*docs.columns, spans_col)
 
 
 def redact(text, spans, mark: str = "[SECRET]"):

@@ -78,7 +78,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 16, id_col: str = "doc_id") -> None:
-    """All columns of the documents as Parquet under ``folder``/shard=K, without a shuffle."""
+    """All columns of the documents as Parquet under ``folder``/shard=K, without a shuffle; a column ``shard`` of their own is an error."""
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("the documents have a column named shard")
+
     @F.pandas_udf("int")
     def shard(keys: pd.Series) -> pd.Series:
         return pd.Series(jump_hash(keys.to_numpy().view(np.uint64), shards).astype(np.int32))

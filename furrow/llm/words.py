@@ -2,18 +2,22 @@
 
 A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``; these are ASCII, so bytes and code points agree. The hash of a
 word is a polynomial modulo 2**64 over its bytes, passed through a finaliser; sequences of words are hashed the same way over
-the hashes of their words. Hashes depend on nothing but the words, so they are equal in every task and every run.
+the hashes of their words. Long inputs can be made to collide under such a polynomial, so words of more than ``LONG`` bytes take a
+cryptographic digest instead. Hashes depend on nothing but the words, so they are equal in every task and every run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18  # its arrays stay in a core's cache
+KEPT_POWERS = 1 << 20
+LONG = 255
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
 _ONE = np.uint64(1)
@@ -27,18 +31,21 @@ _PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
 
 class _Powers:
-    """Powers of a base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a base and of its inverse modulo 2**64, grown on demand; beyond ``KEPT_POWERS`` they are not held."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            size = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, size, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, size, 1 << 64))])
-        return self.up[:n], self.down[:n]
+        up, down = self.up, self.down
+        while len(up) < n:
+            size = len(up)
+            up = np.concatenate([up, up * np.uint64(pow(self.base, size, 1 << 64))])
+            down = np.concatenate([down, down * np.uint64(pow(self.inverse, size, 1 << 64))])
+            if len(up) <= KEPT_POWERS:
+                self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
@@ -141,6 +148,8 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int, change: np.ndarray
     total = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + _ONE) * up[:size], out=total[1:])
     value = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG).tolist():
+        value[k] = int.from_bytes(blake2b(data[start[k]:end[k]].tobytes(), digest_size=8).digest(), "little")
     row = np.searchsorted(offsets, start, side="right") - 1
     return Words(data.tobytes(), first, rows, start, end, row, value)
 

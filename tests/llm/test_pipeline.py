@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from furrow.llm.ngram_join import one_of_each
@@ -58,3 +59,28 @@ def test_one_of_each_with_repeats_and_nulls(spark):
     assert sum(k in "bc" for *_, k in got) == 1
     assert [x for x in got if x[2] not in "bc"] == sorted([rows[3], rows[5], rows[6], rows[7], rows[8], rows[9]], key=str)
     assert one_of_each(docs.limit(0)).collect() == []
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, sf_dir):
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(40)
+    like = given.first()
+    odd = spark.createDataFrame(
+        [(None, None, "en", "s", 0), (900_001, "", "en", "s", 0), (900_002, None, None, None, None), (like.doc_id, like.text, like.lang, like.source, like.n_chars),
+         (None, like.text, "en", "s", 5), (900_003, "word " * 60_000, "en", "s", 300_000), (900_004, "password = abcdefgh12345", "en", "s", 24)], given.schema)
+    docs = given.unionByName(odd)
+    extra = {"score": F.lit(0.1), "spans": F.lit("mine"), "secret_spans": F.lit(7), "rid": F.lit(-1), "sig": F.lit(-2), "shard": F.lit(3), "key": F.lit("k"),
+             "size": F.lit(9), "c0": F.lit("c")}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, docs, sf_dir), stage(spark, docs.withColumns(extra), sf_dir)
+        assert wide.columns == [*docs.columns, *extra] and plain.columns == docs.columns, name
+        rows = sorted(map(tuple, plain.collect()), key=str)
+        assert sorted((tuple(r)[:len(docs.columns)] for r in wide.collect()), key=str) == rows, name
+        assert all(r.spans == "mine" and r.score == 0.1 and r.secret_spans == 7 for r in wide.collect()), name
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+    cleaned = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, docs, sf_dir).collect()}
+    assert cleaned[900_004] == "[SECRET]" and cleaned[900_001] == "" and cleaned[900_002] is None
+    out = corpus_pipeline.tokens(spark, docs, sf_dir)
+    assert out.count() == docs.count() and out.where("doc_id = 900002").first().n_tokens == 0
+    assert corpus_pipeline.tokens(spark, docs.limit(0), sf_dir).collect() == []

@@ -1,5 +1,7 @@
 """Jump consistent hashing against its scalar definition; slots; what moves when a shard is added."""
 
+import pytest
+
 import zlib
 
 import numpy as np
@@ -62,3 +64,9 @@ def test_registered_query(spark, sf_dir):
     got = QUERIES["op4_sharding"](spark, sf_dir).collect()
     assert len(got) == len(rows)
     check(rows, got)
+
+
+def test_own_shard_column_is_an_error(spark, tmp_path):
+    from furrow.llm.shards import write_shards
+    with pytest.raises(ValueError):
+        write_shards(spark.createDataFrame([(1, 2)], "doc_id long, Shard int"), str(tmp_path / "out"))
