@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage calls one operator of ``furrow.llm``; its result is written and read again by the next."""
+"""The corpus pipeline: each stage calls one operator of ``furrow.llm``; its result is written and read again by the next.
+
+Edge cases, the same in every stage: a null text counts as empty (and stays null up to the last stage); empty texts are scored like others, link with nothing, cover
+nothing, hold no secret and have no tokens. Null ids are allowed; among near copies they count as the largest. Rows that repeat id
+and text are copies of each other, so the similarity stage leaves one of them. Among equally small ids the smaller text
+hash stays. Texts of any length are read whole. An empty table gives an empty result with the same columns. Columns
+beyond those of ``documents`` pass through all stages but the last under any name.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.bpe_trie import encode_documents
-from furrow.llm.common import table
+from furrow.llm.common import fresh, table
 from furrow.llm.decontaminate import without_contaminated
 from furrow.llm.ngram_join import one_of_each
 from furrow.llm.quality import fit_quality, learnable, score_quality
@@ -20,7 +27,8 @@ from furrow.session import ensure_checkpoint_dir
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.5."""
     model = fit_quality(docs, learnable(table(spark, sf_dir, "labels")))
-    return score_quality(docs, model).where("score >= 0.5").select(*docs.columns)
+    score = fresh("score", docs.columns)
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +43,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
-    clean = redact(F.col("text"), F.col("spans"))
-    return scan_secrets(docs).withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    spans = fresh("spans", docs.columns)
+    clean = redact(F.col("text"), F.col(spans))
+    return scan_secrets(docs, spans_col=spans).withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
