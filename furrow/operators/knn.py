@@ -1,10 +1,13 @@
-"""Exact k-nearest-neighbour join without a cross join.
+"""Exact k-nearest-neighbour join that skips what cannot be near, and its approximate form.
 
-Training points are cut into Voronoi cells around pivots (Lu et al., PVLDB 2012). A query visits only the cells that can
-hold one of its k nearest points, by the triangle inequality and the bisector bound. Cells and the queries that visit
-them are cut into blocks of bounded size, so a dense cell is spread over many tasks; a block emits at most k neighbours
-per query. Ties go to the lower id. Identical training points beyond the k lowest ids can never be chosen, and identical
-queries are answered once.
+Training points are cut into Voronoi cells around pivots (Lu et al., PVLDB 2012). A query is first answered by its own cell; the
+k-th distance found there is a true bound, and by the triangle inequality and the bisector bound only cells that reach
+inside it are visited in a second pass. On points without any structure that may be all of them. With ``probes`` a query
+visits that many cells nearest to it instead (an inverted file): bounded work, and recall below 1.
+
+Cells and the queries that visit them are cut into blocks of bounded size, so a dense cell is spread over many tasks; a block
+finds its candidates by a matrix product, measures them exactly, and emits at most k neighbours per query. Ties go to the lower
+id. Identical training points beyond the k lowest ids can never be chosen, and identical queries are answered once.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.session import counted_cut
+from furrow.session import counted_cut, cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 SLACK = 1 + 1e-9
 
 
@@ -73,20 +76,52 @@ def _choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
     return np.unique(np.array([r["vector"] for r in rows], dtype=np.float64), axis=0)
 
 
+def _measured(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of paired rows, summed in the order that ``_distances`` sums them."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        gap = a[:, d] - b[:, d]
+        out += gap * gap
+    return np.sqrt(out)
+
+
+def _nearest_in_block(points: np.ndarray, ids: np.ndarray, asked: np.ndarray, limits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, point, distance): the k nearest points of each question, within its limit, ties by id.
+
+    The matrix product only chooses whom to measure; its error stays below the slack.
+    """
+    own, other = (asked * asked).sum(axis=1), (points * points).sum(axis=1)
+    square = own[:, None] + other[None, :] - 2.0 * (asked @ points.T)
+    slack = 1e-9 * (own[:, None] + other.max(initial=0.0)) + 1e-300
+    top = np.partition(square, k - 1, axis=1)[:, k - 1] if len(points) > k else np.full(len(asked), np.inf)
+    with np.errstate(invalid="ignore"):
+        reach = np.minimum(top, limits ** 2 * SLACK)
+    q, p = np.nonzero(square <= reach[:, None] + 2 * slack)
+    distance = _measured(asked[q], points[p])
+    near = np.isfinite(distance) & (distance <= limits[q] * SLACK)
+    q, p, distance = q[near], p[near], distance[near]
+    order = np.lexsort((ids[p], distance, q))
+    q, p, distance = q[order], p[order], distance[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], p[first], distance[first]
+
+
 def knn_join(train: DataFrame, query: DataFrame, k: int, train_id: str = "id", query_id: str = "id",
-             vector: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, neighbour_id, distance, rank) of the k nearest training points of every query, Euclidean."""
-    points = train.select(F.col(train_id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    points, n_points = counted_cut(_first_copies(points, k))
+             vector: str = "vector", block_rows: int = BLOCK_ROWS, probes: int | None = None) -> DataFrame:
+    """(query_id, neighbour_id, distance, rank) of the k nearest training points of every query, Euclidean.
+
+    ``probes`` gives the approximate form: only that many cells nearest to a query are searched.
+    """
+    raw = train.select(F.col(train_id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     asked = query.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
     asked = asked.withColumn("qkey", vector_key("vector"))
-    questions = asked.groupBy("qkey").agg(F.any_value("vector").alias("vector"))
-    id_type = dict(points.dtypes)["id"]
-    if n_points == 0:
+    id_type = dict(raw.dtypes)["id"]
+    n_raw = raw.count()
+    if n_raw == 0:
         return asked.select("query_id", F.lit(None).cast(id_type).alias("neighbour_id"),
                             F.lit(None).cast("double").alias("distance"),
                             F.lit(None).cast("int").alias("rank")).limit(0)
-    pivots = _choose_pivots(points, n_points)
+    pivots = _choose_pivots(raw, n_raw)
 
     def nearest_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -94,12 +129,12 @@ def knn_join(train: DataFrame, query: DataFrame, k: int, train_id: str = "id", q
                 gaps = _distances(_matrix(pdf["vector"]), pivots)
                 yield pdf.assign(cell=gaps.argmin(axis=1).astype("int32"), gap=gaps.min(axis=1))
 
-    assigned = points.mapInPandas(nearest_pivot, f"id {id_type}, vector array<double>, cell int, gap double")
+    assigned = cut_lineage(_first_copies(raw, k).mapInPandas(nearest_pivot, f"id {id_type}, vector array<double>, cell int, gap double"))
     # Small rows per cell: size, radius, and the k lowest gaps that bound the k-th neighbour of any query.
-    shape = assigned.groupBy("cell").agg(F.count("*").alias("size"), F.max("gap").alias("radius")).collect()
     by_gap = Window.partitionBy("cell").orderBy("gap")
     lowest = (assigned.select("cell", "gap").withColumn("__r", F.row_number().over(by_gap))
               .where(F.col("__r") <= k).collect())
+    shape = assigned.groupBy("cell").agg(F.count("*").alias("size"), F.max("gap").alias("radius")).collect()
     n_cells = len(pivots)
     sizes, radius = np.zeros(n_cells, dtype=np.int64), np.zeros(n_cells)
     first = np.full((n_cells, k), np.inf)
@@ -108,8 +143,11 @@ def knn_join(train: DataFrame, query: DataFrame, k: int, train_id: str = "id", q
     for row in lowest:
         first[row["cell"], row["__r"] - 1] = row["gap"]
     between = _distances(pivots, pivots)
+    points = assigned.select("id", "vector", "cell")
+    visit = "qkey string, vector array<double>, bound double, cell int"
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each question in its own cell (with ``probes``, in that many), with the bound that the lowest gaps give."""
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -118,20 +156,39 @@ def knn_join(train: DataFrame, query: DataFrame, k: int, train_id: str = "id", q
             for i, row in enumerate(gaps):
                 bound = (row[:, None] + first).ravel()
                 reach[i] = np.partition(bound, k - 1)[k - 1] if len(bound) >= k else np.inf
+            near = np.argsort(np.where(sizes > 0, gaps, np.inf), axis=1, kind="stable")[:, :probes or 1]
+            rows = np.repeat(np.arange(len(gaps)), near.shape[1])
+            yield pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[rows], "vector": pdf["vector"].to_numpy()[rows],
+                                "bound": reach[rows] if probes is None else np.inf, "cell": near.ravel().astype("int32")})
+
+    def further_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            gaps, reach, done = _distances(_matrix(pdf["vector"]), pivots), pdf["bound"].to_numpy(), pdf["cell"].to_numpy()
             own = gaps.argmin(axis=1)
             own_gap = gaps[np.arange(len(gaps)), own]
             with np.errstate(divide="ignore", invalid="ignore"):
                 bisector = (gaps ** 2 - own_gap[:, None] ** 2) / (2 * between[own])
             lower = np.maximum(gaps - radius[None, :], np.nan_to_num(bisector, nan=0.0, posinf=0.0, neginf=0.0))
             needed = (sizes[None, :] > 0) & (lower <= reach[:, None] * SLACK)
+            needed[np.arange(len(gaps)), done] = False
             rows, cells = np.nonzero(needed)
             yield pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[rows], "vector": pdf["vector"].to_numpy()[rows],
-                                "cell": cells.astype("int32")})
+                                "bound": reach[rows], "cell": cells.astype("int32")})
 
-    visited = questions.mapInPandas(visits, "qkey string, vector array<double>, cell int")
-    visit_counts = {r["cell"]: r["n"] for r in visited.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    return _answer(asked, assigned.select("id", "vector", "cell"), visited,
-                   sizes, np.array([visit_counts.get(c, 0) for c in range(n_cells)]), k, id_type, block_rows)
+    questions = asked.groupBy("qkey").agg(F.any_value("vector").alias("vector"))
+    own = cut_lineage(questions.mapInPandas(own_cells, visit))
+    found = cut_lineage(_candidates(points, own, sizes, k, id_type, block_rows))
+    if probes is None:
+        best = Window.partitionBy("qkey").orderBy("distance", "neighbour_id")
+        kth = (found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == k)
+               .select("qkey", F.col("distance").alias("__kth")))
+        bounded = own.join(kth, "qkey", "left").withColumn("bound", F.least("bound", F.coalesce("__kth", F.lit(float("inf"))))).drop("__kth")
+        found = found.unionByName(_candidates(points, cut_lineage(bounded.mapInPandas(further_cells, visit)), sizes, k, id_type, block_rows))
+    best = Window.partitionBy("qkey").orderBy("distance", "neighbour_id")
+    nearest = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return asked.select("query_id", "qkey").join(nearest, "qkey").select("query_id", "neighbour_id", "distance", "rank")
 
 
 def _block_numbers(blocks):
@@ -144,33 +201,30 @@ def _blocks(counts: np.ndarray, block_rows: int):
     return F.array(*[F.lit(int(max(1, -(-int(c) // block_rows)))) for c in counts])
 
 
-def _answer(asked: DataFrame, points: DataFrame, visited: DataFrame, sizes: np.ndarray, visit_counts: np.ndarray,
-            k: int, id_type: str, block_rows: int) -> DataFrame:
-    point_blocks, query_blocks = _blocks(sizes, block_rows), _blocks(visit_counts, block_rows)
+def _candidates(points: DataFrame, visited: DataFrame, sizes: np.ndarray, k: int, id_type: str, block_rows: int) -> DataFrame:
+    """(qkey, neighbour_id, distance): the k nearest of each block that a question visits, within its bound."""
+    counts = {r["cell"]: r["n"] for r in visited.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    asked_blocks = _blocks(np.array([counts.get(c, 0) for c in range(len(sizes))]), block_rows)
+    point_blocks = _blocks(sizes, block_rows)
     key = ["cell", "point_block", "query_block"]
-    left = (points.withColumn("point_block", F.pmod(F.xxhash64("id"), point_blocks[F.col("cell")]))
-            .withColumn("query_block", _block_numbers(query_blocks[F.col("cell")])))
-    right = (visited.withColumn("query_block", F.pmod(F.xxhash64("qkey"), query_blocks[F.col("cell")]))
+    left = (points.where(F.col("cell").isin(list(counts))) if len(counts) < len(sizes) else points)
+    left = (left.withColumn("point_block", F.pmod(F.xxhash64("id"), point_blocks[F.col("cell")]))
+            .withColumn("query_block", _block_numbers(asked_blocks[F.col("cell")])))
+    right = (visited.withColumn("query_block", F.pmod(F.xxhash64("qkey"), asked_blocks[F.col("cell")]))
              .withColumn("point_block", _block_numbers(point_blocks[F.col("cell")])))
 
     def block_nearest(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(near) and len(far):
-            ids, matrix = near["id"].to_numpy(), _matrix(near["vector"])
+            ids, matrix, keys = near["id"].to_numpy(), _matrix(near["vector"]), far["qkey"].to_numpy()
             for start in range(0, len(far), 256):
                 part = far.iloc[start:start + 256]
-                for qkey, row in zip(part["qkey"], _distances(_matrix(part["vector"]), matrix)):
-                    at = _lowest(row, ids, k)
-                    found.append(pd.DataFrame({"qkey": qkey, "neighbour_id": ids[at], "distance": row[at]}))
-        if not found:
-            return pd.DataFrame({"qkey": [], "neighbour_id": [], "distance": []})
-        return pd.concat(found, ignore_index=True)
+                q, p, distance = _nearest_in_block(matrix, ids, _matrix(part["vector"]), part["bound"].to_numpy(), k)
+                found.append(pd.DataFrame({"qkey": keys[start:start + 256][q], "neighbour_id": ids[p], "distance": distance}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"qkey": [], "neighbour_id": [], "distance": []})
 
-    candidates = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
         block_nearest, f"qkey string, neighbour_id {id_type}, distance double")
-    best = Window.partitionBy("qkey").orderBy("distance", "neighbour_id")
-    nearest = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return asked.select("query_id", "qkey").join(nearest, "qkey").select("query_id", "neighbour_id", "distance", "rank")
 
 
 def knn_regress(train: DataFrame, query: DataFrame, k: int, target: str, train_id: str = "id",

@@ -98,6 +98,48 @@ def test_knn_against_brute_force_with_a_hot_point(spark, width):
         assert got[got["query_id"] == i]["neighbour_id"].tolist() == want.tolist()
 
 
+def _gathered(spark, n=4_000, width=8):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 20, (25, width))
+    points = centres[rng.integers(0, 25, n)] + rng.normal(0, 1, (n, width))
+    return points, spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
+
+
+def test_knn_skips_cells_of_gathered_points(spark, monkeypatch):
+    points, frame = _gathered(spark)
+    work, inner = [], knn._candidates
+
+    def counting(stored, visited, sizes, *rest):
+        work.append(sum(int(sizes[r["cell"]]) for r in visited.select("cell").collect()))
+        return inner(stored, visited, sizes, *rest)
+
+    monkeypatch.setattr(knn, "_candidates", counting)
+    asked = frame.where("id % 20 = 0")
+    got = knn.knn_join(frame, asked, 5).toPandas().sort_values(["query_id", "rank"])
+    for i in range(0, len(points), 20):
+        distance = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        assert got[got["query_id"] == i]["neighbour_id"].tolist() == np.lexsort((np.arange(len(points)), distance.round(12)))[:5].tolist()
+    assert sum(work) < 0.25 * asked.count() * len(points)
+
+
+def test_probed_cells_find_most_neighbours(spark):
+    points, frame = _gathered(spark)
+    asked = frame.where("id % 20 = 0")
+    exact = {(r["query_id"], r["neighbour_id"]) for r in knn.knn_join(frame, asked, 5).collect()}
+    found = {(r["query_id"], r["neighbour_id"]) for r in knn.knn_join(frame, asked, 5, probes=3).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_knn_of_points_far_from_the_origin(spark):
+    rng = np.random.default_rng(12)
+    points = 1e6 + rng.normal(0, 1, (300, 3)).round(2)
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
+    got = knn.knn_join(frame, frame, 3).toPandas().sort_values(["query_id", "rank"])
+    for i, p in enumerate(points):
+        distance = knn._distances(points[i:i + 1], points)[0]
+        assert got[got["query_id"] == i]["neighbour_id"].tolist() == np.lexsort((np.arange(300), distance))[:3].tolist()
+
+
 def test_ridge_equals_the_closed_form(spark):
     rng = np.random.default_rng(3)
     x, y = rng.normal(0, 2, (200, 3)), rng.normal(5, 3, 200)
