@@ -8,7 +8,7 @@ walked in order; for one size the greedy choice has a closed form, so all groups
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX = 3  # hex digits of the MD5 that spread the groups of one size over 4096 ranges
@@ -115,3 +115,23 @@ def leaked_groups(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
 def assert_no_leakage(train: DataFrame, test: DataFrame, group: str) -> None:
     if leaked_groups(train, test, group).limit(1).count():
         raise AssertionError(f"some values of {group} are in both the fitted and the tested rows")
+
+
+def leaking_groups(data: DataFrame, group: str, train: Column, test: Column, k: int) -> DataFrame:
+    """Groups with rows that are tested in a fold and fitted outside of it, for all k folds in one aggregate.
+
+    Each group gets the set of folds it is fitted and tested in, as bits; with more than one fold among them it leaks.
+    """
+    words, sides = range(-(-k // 63)), {"__t": train, "__s": test}
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("fold") % 63).cast("int"))
+    masks = data.groupBy(group_label(group).alias("group")).agg(*[
+        F.coalesce(F.bit_or(F.when(side & (F.floor(F.col("fold") / 63) == w), bit)), F.lit(0).cast("long")).alias(f"{name}{w}")
+        for name, side in sides.items() for w in words])
+    seen = [sum((F.bit_count(f"{name}{w}") for w in words), F.lit(0)) > 0 for name in sides]
+    both = sum((F.bit_count(F.col(f"__t{w}").bitwiseOR(F.col(f"__s{w}"))) for w in words), F.lit(0))
+    return masks.where(seen[0] & seen[1] & (both > 1)).select("group")
+
+
+def assert_folds_apart(data: DataFrame, group: str, train: Column, test: Column, k: int) -> None:
+    if leaking_groups(data, group, train, test, k).limit(1).count():
+        raise AssertionError(f"some values of {group} are in both the fitted and the tested rows")

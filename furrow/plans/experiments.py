@@ -349,9 +349,8 @@ def environment_transfer(df: DataFrame, spec: ModelSpec, k: int = 5, roles: Role
     parts = []
     for name, rows, train_where, test_where in plans:
         data = with_folds(prepared if rows is None else prepared.where(rows), k, roles)
-        for fold in range(k if train_where is not None else 0):
-            folds.assert_no_leakage(data.where(train_where & (F.col("fold") != fold)),
-                                    data.where(test_where & (F.col("fold") == fold)), roles.group)
+        if train_where is not None:
+            folds.assert_folds_apart(data, roles.group, train_where, test_where, k)
         policy = Policy(train_where=train_where, test_where=test_where)
         parts.append(out_of_fold(data, [spec], k, roles, policy).withColumn("run", F.lit(name)))
     metrics = evaluation.subset_metrics(cut_lineage(evaluation.union_folds(parts)), ["run", "fold"],

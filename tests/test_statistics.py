@@ -98,6 +98,20 @@ def test_knn_against_brute_force_with_a_hot_point(spark, width):
         assert got[got["query_id"] == i]["neighbour_id"].tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("k", [3, 130])
+def test_leaks_of_all_folds_in_one_aggregate(spark, k):
+    top = k - 1
+    rows = [("apart", 0, "NE"), ("apart", 0, "MED"), ("leaks", 1, "NE"), ("leaks", top, "MED"), ("fitted only", 0, "NE"), ("fitted only", top, "NE"),
+            ("tested only", 0, "MED"), ("tested only", 1, "MED"), (None, 1, "NE"), (None, 1, "MED"), ("mixed", top, "NE"), ("mixed", top, "MED"), ("mixed", 0, "MED")]
+    data = spark.createDataFrame(rows, "g string, fold int, env string")
+    train, test = F.col("env") == "NE", F.col("env") == "MED"
+    want = {g for f in range(k) for g in {r[0] for r in rows if r[2] == "NE" and r[1] != f} & {r[0] for r in rows if r[2] == "MED" and r[1] == f}}
+    assert {r["group"] for r in folds.leaking_groups(data, "g", train, test, k).collect()} == want == {"leaks", "mixed"}
+    with pytest.raises(AssertionError, match="both the fitted and the tested"):
+        folds.assert_folds_apart(data, "g", train, test, k)
+    folds.assert_folds_apart(data.where("g = 'apart' OR g IS NULL"), "g", train, test, k)
+
+
 def _gathered(spark, n=4_000, width=8):
     rng = np.random.default_rng(11)
     centres = rng.normal(0, 20, (25, width))

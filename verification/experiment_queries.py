@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -213,6 +215,37 @@ def parameter_search(spark, sf_dir):
     return ex.trials_frame(spark, ex.parameter_search(data, "ridge", _ALPHA_SPACE, 20, 3, 42)[1])
 
 
+def _folds_named(prefix: str, source: str) -> dict[str, str]:
+    names = fold_ctes(source, 5)
+    return {f"{prefix}_{n}": re.sub(r"\b(gs|asg|fmap|folded)\b", rf"{prefix}_\1", text) for n, text in names.items()}
+
+
+def _side(run: str, relation: str, where: str = "TRUE") -> str:
+    return f"SELECT '{run}' AS run, fold, env_type, o_a_score FROM {relation}_folded WHERE {where}"
+
+
+_RUNS = [("A_global_cv1", "every", "TRUE", "TRUE"), ("B_ne_only_cv1", "ne", "TRUE", "TRUE"), ("B_med_only_cv1", "med", "TRUE", "TRUE"),
+         ("C_transfer_ne_to_med_unseen", "every", "env_type = 'NE'", "env_type = 'MED'"),
+         ("C_transfer_med_to_ne_unseen", "every", "env_type = 'MED'", "env_type = 'NE'")]
+
+
+@query("E7_baseline_transfer",
+       assemble("SELECT run, avg(r) AS rmse_all_mean, avg(a) AS mae_all_mean, avg(ne) AS rmse_ne_mean, avg(med) AS rmse_med_mean FROM (SELECT run, fold, "
+                "sqrt(avg((o_a_score - m) ** 2)) AS r, avg(abs(o_a_score - m)) AS a, sqrt(avg((o_a_score - m) ** 2) FILTER (WHERE env_type = 'NE')) AS ne, "
+                "sqrt(avg((o_a_score - m) ** 2) FILTER (WHERE env_type = 'MED')) AS med FROM pr GROUP BY run, fold) GROUP BY run", ["mart"],
+                ["rmse_all_mean", "mae_all_mean", "rmse_ne_mean", "rmse_med_mean"],
+                {"ne_rows": "SELECT * FROM mart WHERE env_type = 'NE'", "med_rows": "SELECT * FROM mart WHERE env_type = 'MED'",
+                 **_folds_named("every", "mart"), **_folds_named("ne", "ne_rows"), **_folds_named("med", "med_rows"),
+                 "held": "SELECT CAST(unnest(range(5)) AS INT) AS held_out",
+                 "tr": " UNION ALL ".join(_side(run, rows, train) for run, rows, train, _ in _RUNS),
+                 "te": " UNION ALL ".join(_side(run, rows, test) for run, rows, _, test in _RUNS),
+                 "mm": "SELECT run, held_out, avg(o_a_score) AS m FROM tr JOIN held ON fold <> held_out GROUP BY run, held_out",
+                 "pr": "SELECT te.*, m FROM te JOIN mm ON te.run = mm.run AND fold = held_out WHERE o_a_score IS NOT NULL"}, True))
+def baseline_transfer(spark, sf_dir):
+    out = ex.environment_transfer(mart(spark, sf_dir), BASELINES[0])
+    return out.select("run", "rmse_all_mean", "mae_all_mean", "rmse_ne_mean", "rmse_med_mean")
+
+
 @query("E7_environment_transfer")
 def environment_transfer(spark, sf_dir):
     return ex.environment_transfer(mart(spark, sf_dir), RIDGE)
