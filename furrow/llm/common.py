@@ -46,12 +46,12 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 class Membership:
     """A one-hash bitmap of a set of longs: no false negatives, and false positives only cost work.
 
-    Size: 8 to 16 bits per key, at most ``most_bits`` (32 MB by default), so sending it to every task is safe at any input size;
+    Size: ``per_key`` (8) to twice as many bits per key, at most ``most_bits`` (32 MB by default), so sending it to every task is safe at any input size;
     with more keys it fills up and lets more through. Built by a distributed aggregation of 4 KB pieces.
     """
 
-    def __init__(self, keys: DataFrame, column: str, count: int, most_bits: int = 1 << 28):
-        bits = min(most_bits, max(1 << 17, 1 << (max(1, 8 * count) - 1).bit_length()))
+    def __init__(self, keys: DataFrame, column: str, count: int, most_bits: int = 1 << 28, per_key: int = 8):
+        bits = min(most_bits, max(1 << 17, 1 << (max(1, per_key * count) - 1).bit_length()))
         at = F.pmod(F.col(column), F.lit(bits)) + 1
         pieces = keys.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))

@@ -5,9 +5,11 @@ words has its whole sequence as one shingle. Two documents link when ``100 * |A
 
 Plan: (1) one pass counts tokens within each task and keeps those that many documents have; they come last in the order of
 tokens, which is by hash otherwise. The order only spares work: any order that all documents follow gives the same links. A second
-pass hashes the sets. Equal sets (128-bit key) are one node from here on, so copies cost nothing. (2) Two sets that link share a
-token among the first ``n - ceil(t n) + 1`` of each in this order. A token that two nodes of fitting sizes have makes a bucket;
-tokens of the same nodes make one. (3) In a bucket a signature tree is built: its nodes hold OR-combined bitmaps and size ranges, and a dual
+pass hashes the sets. Equal sets (128-bit key) are one node from here on, so copies cost nothing. (2) Two sets that link share
+``l`` tokens among the first ``n - ceil(t n) + l`` of each in this order (``support`` gives l, at most 3). A token that nodes of fitting
+sizes have makes a bucket; tokens of the same nodes make one. A bucket of two nodes that has fewer than l tokens goes: a pair
+that links has another of its l tokens in a larger bucket, and is found there. Rows carry half of the key, and
+get the whole one with the bitmap. (3) In a bucket a signature tree is built: its nodes hold OR-combined bitmaps and size ranges, and a dual
 traversal leaves out node pairs whose largest possible overlap is too small, and those already connected. What survives
 connects nodes to *clusters* that contain whole components. (4) Only members of clusters are hashed again; each cluster is
 joined exactly by the same traversal, with the true overlap at the leaves. A bucket or cluster above a size limit is split into
@@ -65,6 +67,13 @@ def _binary(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.astype(">u8").tobytes())]).cast(pa.binary())
 
 
+def _numbers(keys: pa.ChunkedArray) -> np.ndarray:
+    """Keys as rows of unsigned numbers: a long is one, bytes are one for every eight."""
+    if pa.types.is_integer(keys.type):
+        return keys.to_numpy().view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(keys.to_pylist()), dtype=">u8").astype(np.uint64).reshape(len(keys), -1)
+
+
 def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
 
@@ -74,12 +83,34 @@ def map_bits(size: int) -> int:
     return max(64, 1 << (size - 1).bit_length())
 
 
+def support(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the first tokens two sets that link have in common at least, if this is the smaller set."""
+    return np.minimum(1 + np.minimum(size // 16, 2), -(-percent * size // 100))
+
+
 def bitmap(tokens: np.ndarray, bits: int) -> bytes:
     out = np.zeros(bits, dtype=np.uint8)
     out[(tokens >> np.uint64(7)).astype(np.uint64) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
+class _Fresh:
+    """Which keys a task meets for the first time; it forgets when it holds ``most``, which costs work and no result."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.held = most, set()
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=bool)
+        for k, key in enumerate(zip(keys[:, 0].tolist(), keys[:, 1].tolist(), strict=True)):
+            if key not in self.held:
+                out[k] = True
+                self.held.add(key)
+        if len(self.held) > self.most:
+            self.held.clear()
+        return out
+
+
 def _repeated(n: int, least: int = 4, slice_tokens: int = 3_000_000):
     """Tokens that at least ``least`` rows of a slice of the task have, with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +132,12 @@ def _repeated(n: int, least: int = 4, slice_tokens: int = 3_000_000):
 
 
 def _describe(n: int, percent: int, often: Membership | None):
-    """Per row: set size, key, the first tokens (frequent ones last, else by hash) and the bitmap."""
+    """Per row: set size, key, the first tokens (frequent ones last, else by hash) and the bitmap.
+
+    A set that the task had before has neither tokens nor a bitmap.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = _Fresh()
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
                 row, token = token_sets(block, n)
@@ -110,14 +145,18 @@ def _describe(n: int, percent: int, often: Membership | None):
                 size = np.diff(bounds)
                 own = batch.slice(block.first, block.rows)
                 full = np.flatnonzero(size)
-                begin, count = bounds[full], size[full]
                 keys = np.zeros((block.rows, 2), dtype=np.uint64)
-                keys[full] = _keys(token, begin)
+                keys[full] = _keys(token, bounds[full])
+                new = fresh.among(keys[full])
+                full = full[new]
+                begin, count = bounds[full], size[full]
                 low = np.zeros(block.rows, dtype=np.int64)
-                low[full] = count + (-percent * count) // 100 + 1
+                low[full] = count + (-percent * count) // 100 + support(count, percent)
                 ordered = token if often is None else token[np.lexsort((token, often.has(token), row))]
                 pick = np.repeat(begin - np.append(0, np.cumsum(low[full])[:-1]), low[full]) + np.arange(low.sum())
-                maps = [bitmap(token[a:b], map_bits(b - a)) if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                maps = [b""] * block.rows
+                for k in full.tolist():
+                    maps[k] = bitmap(token[bounds[k]:bounds[k + 1]], map_bits(int(size[k])))
                 yield pa.RecordBatch.from_arrays(
                     [own.column("rid"), own.column("sig"), pa.array(size.astype(np.int64)), _binary(keys),
                      _lists(pa.array(ordered[pick].view(np.int64)), low), pa.array(maps, pa.binary())],
@@ -129,14 +168,15 @@ def _shared(percent: int, most: int = 200_000):
     """Of rows ordered by token, size and key: those whose neighbour has the token, a fitting size and another key.
 
     ``bucket`` is a hash of the keys that are left of a token, so tokens of the same rows (near copies share most of theirs) make
-    one bucket. A token with more than ``most`` rows isn't held: its rows go on as they are, in a bucket of their own.
+    one bucket. ``need`` is how many tokens such a bucket has to have to count. A token with more than ``most`` rows isn't held: its rows go on as they are, in a bucket of their own.
     """
-    def out(part: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from part.select(["size", "key", "lead"]).add_column(0, "bucket", pa.array(bucket.view(np.int64))).combine_chunks().to_batches()
+    def out(part: pa.Table, bucket: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordBatch]:
+        named = part.select(["key"]).add_column(0, "bucket", pa.array(bucket.view(np.int64)))
+        yield from named.append_column("need", pa.array(need.astype(np.int64))).combine_chunks().to_batches()
 
     def select(part: pa.Table) -> Iterator[pa.RecordBatch]:
         token, size = part["token"].to_numpy(), part["size"].to_numpy()
-        key = np.frombuffer(b"".join(part["key"].to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        key = _numbers(part["key"])
         single = np.ones(len(token), dtype=bool)
         single[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1]).any(axis=1)
         at = np.flatnonzero(single)
@@ -150,7 +190,10 @@ def _shared(percent: int, most: int = 200_000):
             new[1:] = token[at[1:]] != token[at[:-1]]
             begin = np.flatnonzero(new)
             named = mix(np.add.reduceat(mix(key[at, 0], 31), begin), 32)
-            yield from out(part.take(pa.array(at)), named[np.cumsum(new) - 1])
+            two = np.diff(np.append(begin, len(at))) == 2
+            need = np.where(two, np.minimum.reduceat(support(size[at], percent), begin), 1)
+            group = np.cumsum(new) - 1
+            yield from out(part.take(pa.array(at)), named[group], need[group])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, None
@@ -163,14 +206,14 @@ def _shared(percent: int, most: int = 200_000):
             cut = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
             if large is not None:
                 more = int(np.searchsorted(token, large, side="right"))
-                yield from out(held.slice(0, more), mix(token[:more].view(np.uint64), 33))
+                yield from out(held.slice(0, more), mix(token[:more].view(np.uint64), 33), np.ones(more))
                 held, cut, large = held.slice(more), max(0, cut - more), large if more == len(token) else None
             if cut:
                 yield from select(held.slice(0, cut))
                 held = held.slice(cut)
             if held.num_rows > most:
                 large = int(token[-1])
-                yield from out(held, mix(held["token"].to_numpy().view(np.uint64), 33))
+                yield from out(held, mix(held["token"].to_numpy().view(np.uint64), 33), np.ones(held.num_rows))
                 held = held.slice(held.num_rows)
         if held is not None and held.num_rows:
             yield from select(held)
@@ -342,8 +385,9 @@ def _token_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[byte
 
 
 def _members(n: int, wanted: Membership):
-    """Whole token sets of the rows whose key may be wanted."""
+    """Whole token sets of the rows whose key may be wanted, a task's copies once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = _Fresh()
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
                 row, token = token_sets(block, n)
@@ -352,6 +396,8 @@ def _members(n: int, wanted: Membership):
                 keys = _keys(token, bounds[full])
                 keep = wanted.has(keys[:, 0])
                 full, keys = full[keep], keys[keep]
+                keep = fresh.among(keys)
+                full, keys = full[keep], keys[keep]
                 pieces = [token[bounds[k]:bounds[k + 1]] for k in full.tolist()]
                 flat = np.concatenate(pieces) if pieces else token[:0]
                 yield pa.RecordBatch.from_arrays(
@@ -376,13 +422,16 @@ def _linked(rows: DataFrame, n: int, percent: int, bucket_rows: int, block_token
         whole = cut_lineage(rows.mapInArrow(
             _describe(n, percent, last), "rid long, sig long, size long, key binary, least array<long>, map binary"))
         described = cut_lineage(whole.select("rid", "sig", "size", "key"), outlive=True)
-        kept = whole.where("size > 0")
-        tokens = kept.select(F.explode("least").alias("token"), "size", "key", F.col("least")[0].alias("lead"))
+        kept = whole.where(F.size("least") > 0).withColumn("half", _half("key"))
+        tokens = kept.select(F.explode("least").alias("token"), "size", F.col("half").alias("key"))
         tokens = tokens.repartition("token").sortWithinPartitions("token", "size", "key")
-        shared = cut_lineage(tokens.mapInArrow(_shared(percent), "bucket long, size long, key binary, lead long").distinct())
-        maps = kept.select("key", "map").groupBy("key").agg(F.first("map").alias("map"))
+        shared = tokens.mapInArrow(_shared(percent), "bucket long, key long, need long").groupBy("bucket", "key").agg(
+            F.count("*").alias("has"), F.max("need").alias("need"))
+        shared = cut_lineage(shared.where("has >= need").select("bucket", F.col("key").alias("half")))
+        maps = kept.groupBy("key", "half").agg(F.first(F.struct("size", F.col("least")[0].alias("lead"), "map")).alias("m"))
+        maps = maps.select("key", "half", "m.*")
         crowded = shared.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
-        buckets = shared.join(maps, "key").join(crowded, "bucket", "left")
+        buckets = shared.join(maps, "half").join(crowded, "bucket", "left")
         buckets = _blocked(buckets, F.ceil(F.coalesce("n", F.lit(1)) / bucket_rows))
         buckets = buckets.select("bucket", "i", "j", "lead", "size", "key", "map").repartition("bucket", "i", "j").sortWithinPartitions(
             "bucket", "i", "j", F.length("map"), "lead", "size", "key")
@@ -390,7 +439,7 @@ def _linked(rows: DataFrame, n: int, percent: int, bucket_rows: int, block_token
         clusters, many = counted_cut(coarse.select(F.col("node").alias("key"), F.col("component").alias("cluster")), outlive=True)
     if not many:
         return described, None
-    wanted = Membership(clusters.select(F.expr("CAST(conv(hex(substring(key, 1, 8)), 16, -10) AS BIGINT)").alias("k")), "k", many)
+    wanted = Membership(clusters.select(_half("key").alias("k")), "k", many, per_key=64)
     sets = rows.select("text").mapInArrow(_members(n, wanted), "key binary, tokens array<long>")
     sizes = described.where("size > 0").groupBy("key").agg(F.first("size").alias("size"))
     placed = clusters.join(sizes, "key")
@@ -442,3 +491,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _id(name: str):
     return F.when(F.col(name) != NO_ID, F.col(name))
+
+
+def _half(name: str):
+    """The first eight bytes of a key as a number."""
+    return F.expr(f"CAST(conv(hex(substring({name}, 1, 8)), 16, -10) AS BIGINT)")
