@@ -111,6 +111,9 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
     root = Node("", "", False)
     stack: list[tuple[str, Node | None]] = [("", root)]
     path: list[Node] = [root]
+    around: list[tuple] = [(False, False, False, ())]  # for each node of the path: is or lies in what is apart, an article, a main element; named elements since
+    open_at: dict[str, list[int]] = {}  # the stack positions of each open name
+    ends: dict[str, re.Match] = {}  # the next end of each RAW element
     blocks: list[tuple] = []  # as returned, the named elements around it, characters in links
     pieces: list[str] = []
     linked = links = 0  # characters in links of the block, links open
@@ -125,39 +128,53 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
             pieces.clear()
             if text:
                 path[-1].texts.append(len(blocks))
-                inner = max((k for k, n in enumerate(path) if n.tag in ("article", "main")), default=0)
-                blocks.append((text, any(n.apart for n in path), any(n.tag == "article" for n in path), any(n.tag == "main" for n in path),
-                               [n for n in path[inner:] if n.named], linked))
+                blocks.append((text, *around[-1], linked))
             linked = 0
 
+    def opened(name: str, node: Node | None) -> None:
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append((name, node))
+        if node is not None:
+            if node is not path[-1]:
+                apart, article, main, named = around[-1]
+                named = () if node.tag in ("article", "main") else (*named, node) if node.named else named
+                around.append((apart or node.apart, article or node.tag == "article", main or node.tag == "main", named))
+            else:
+                around.append(around[-1])
+            path.append(node)
+
     def close(k: int) -> None:
         """Leave the elements from stack position k on."""
         nonlocal links
         for name, node in stack[k:]:
             links -= name == "a href"
+            open_at[name].pop()
             if node is not None:
                 flush()
                 path.pop()
+                around.pop()
         del stack[k:]
 
+    def innermost(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+
     def nearest(names, stops=()) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in stops:
-                return 0
-        return 0
+        """Stack position of the innermost of the names, 0 if there is none or a stop lies within it."""
+        k = innermost(names)
+        return k if k >= innermost(stops) else 0
 
     def raw_end(name: str, at: int) -> re.Match | None:
         """The end of a RAW element, if its parent does not end before."""
         if name in unclosed:
             return None
-        end = _RAW_END[name].search(html, at)
+        end = ends.get(name)
+        if end is None or end.start() < at:
+            end = ends[name] = _RAW_END[name].search(html, at)
         if end is None:
             unclosed.add(name)
         elif name not in TO_THE_END and (parent := stack[-1][0].split(" ")[0]):
             depth = 0
-            for m in re.finditer(rf"<(/?){re.escape(parent)}(?=[\s/>])", html[at:end.start()], re.I):
+            for m in re.compile(rf"<(/?){re.escape(parent)}(?=[\s/>])", re.I).finditer(html, at, end.start()):
                 depth += -1 if m[1] else 1
                 if depth < 0:
                     return None
@@ -190,7 +207,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
                 at = end.end() if end else at if tag.endswith("/>") else len(html)
                 pieces.append(" " if name != "title" else "")
                 continue
-            classes, apart, named = "", not any(n.apart for n in path), ""
+            classes, apart, named = "", not around[-1][0], ""
         else:
             classes, apart, named = _attributes(tag, name) if name not in VOID else ("", False, "")
         if name in BLOCK or apart or named:
@@ -203,27 +220,25 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool, bool, bool]]]:
             flush()
             if name == "hr":
                 continue
-            if len(path) > DEEPEST and (not apart or any(n.apart for n in path)):
-                stack.append((name, path[-1]))
-                path.append(path[-1])
+            if len(path) > DEEPEST and (not apart or around[-1][0]):
+                opened(name, path[-1])
                 continue
             node = Node(name, f"{name}.{classes}", apart, named)
             if name in ("article", "main"):
-                spared.update(id(n) for n in path if n.named)
+                spared.update(id(n) for n in path[:DEEPEST + 1] if n.named)  # what follows there repeats the last one
             if name in BLOCK:
-                for n in path:
+                for n in path[:DEEPEST + 1]:
                     inline.pop(id(n), None)
             elif named:
                 inline[id(node)] = path[-1]
             path[-1].children.append(node)
-            path.append(node)
-            stack.append((name, node))
+            opened(name, node)
         elif name in VOID:
             pieces.append(" ")
         elif not tag.endswith("/>"):
             link = name == "a" and bool(_HREF.search(tag))
             links += link
-            stack.append(("a href" if link else name, None))
+            opened("a href" if link else name, None)
     close(1)
     flush()
     hidden = _hidden_by_name(blocks, spared, inline)

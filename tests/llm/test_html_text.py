@@ -137,3 +137,15 @@ def test_an_unclosed_element_ends_with_its_parent(tag):
 
 def test_formulas_are_text():
     assert extract_group(["<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> holds"]) == ["so x=1 holds"]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<b></i>" * 200_000 + "x", "x"), ("<div>x" * 50_000, "\n".join("x" * 50_000)), ("<div>" * 50_000 + "<nav>y</nav>" * 50_000 + "z", "z"),
+    ("<div><video></div>" * 50_000 + "</video>x", "x"), ("<p><button>" + "<b>" * 50_000 + "<div></div>" * 50_000 + "x", "")])
+def test_long_pages_that_close_nothing_take_linear_time(page, text):
+    from time import process_time
+
+    begin = process_time()
+    blocks = parse(page)[1]
+    assert process_time() - begin < 30  # minutes and more, if every tag looked through all that are open
+    assert "\n".join(b[0] for b in blocks if not b[1]) == text
