@@ -414,7 +414,8 @@ def linear_contributions(trained: TrainedModel) -> DataFrame:
 def permuted_contributions(trained: TrainedModel, roles: Roles = Roles(), seed: int = 7) -> DataFrame:
     """(row_no, env_type, encoded, value): change of a row's prediction when one feature comes from a random other row.
 
-    Rows are paired by their positions in two hash orders, so the pairing is a permutation made by a join.
+    Rows are paired by their positions in two hash orders, so the pairing is a permutation made by a join. One pass scores a
+    copy of each row for each feature, under a row number of its own.
     """
     rows = trained.training.select("row_no", "env_label", *roles.numeric, *roles.categorical)
 
@@ -436,14 +437,14 @@ def permuted_contributions(trained: TrainedModel, roles: Roles = Roles(), seed:
             "row_no", "env_label", name, *[f"__other_{c}" for c in features], *features)
 
     base = cut_lineage(predicted(paired, "__base"))
-    parts = []
-    for c in features:
-        own = [x for x in base.columns if x != c]
-        swapped = base.select(*own, F.col(f"__other_{c}").alias(c))
-        moved = trained.model.predict(trained.stages.transform(swapped))
-        parts.append(moved.select("row_no", F.col("env_label").alias("env_type"), F.lit(c).alias("encoded"),
-                                  (F.col("y_pred") - F.col("__base")).alias("value")))
-    return evaluation.union_folds(parts)
+    n = len(features)
+    copies = base.select("*", F.posexplode(F.array(*[F.lit(c) for c in features])).alias("__copy", "encoded"))
+    swapped = copies.select(
+        (F.col("row_no") * n + F.col("__copy")).alias("row_no"), "env_label", "encoded", "__base", F.col("row_no").alias("__row"),
+        *[F.when(F.col("encoded") == c, F.col(f"__other_{c}")).otherwise(F.col(c)).alias(c) for c in features])
+    moved = trained.model.predict(trained.stages.transform(swapped))
+    return moved.select(F.col("__row").alias("row_no"), F.col("env_label").alias("env_type"), "encoded",
+                        (F.col("y_pred") - F.col("__base")).alias("value"))
 
 
 def feature_attribution(df: DataFrame, spec: ModelSpec = ModelSpec("xgb", TUNED_BOOSTER), roles: Roles = Roles()) -> dict[str, DataFrame]:
