@@ -421,6 +421,22 @@ def versioned_store(spark, sf_dir):
     return _versions(store.history())
 
 
+@query("S7_compacted_store", ORACLES["S7_versioned_store"])
+def compacted_store(spark, sf_dir):
+    """The same deliveries with a compaction after each and a clean-up at the end: the history is the same."""
+    store = VersionedStore(spark, f"{scratch(spark)}/store", rows_per_slot=100_000)
+    first = fixtures.trials(spark, sf_dir).withColumns(
+        {"source_file": F.lit("first.csv"), "source_row": (F.col("plot") % 1000 + 2).cast("long")})
+    nothing = first.where(F.lit(False)).select("source_file", "source_row", F.lit("").alias("error_message"))
+    store.load(first, nothing, "load-1", "2024-01-01 00:00:00")
+    store.compact("compaction-1")
+    store.load(fixtures.snapshot(spark, sf_dir), nothing, "load-2", "2025-01-01 00:00:00")
+    store.compact("compaction-2")
+    store.load(fixtures.snapshot(spark, sf_dir), nothing, "load-3", "2025-02-01 00:00:00")
+    store.vacuum(older_than_hours=0)
+    return _versions(store.history())
+
+
 @query("S7_value_returns",
        assemble(f"SELECT {_KEY}, o_a_score FROM (SELECT DISTINCT {', '.join(fixtures.BUSINESS)} FROM trials WHERE o_a_score IS NOT NULL)",
                 ["trials"], ["o_a_score"]))
