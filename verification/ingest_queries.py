@@ -437,6 +437,19 @@ def compacted_store(spark, sf_dir):
     return _versions(store.history())
 
 
+@query("S7_many_deliveries", ORACLES["S7_versioned_store"].replace("2025-01-01 00:00:00", "2024-01-01 00:00:00.000001"))
+def many_deliveries(spark, sf_dir):
+    """Two deliveries and a replay of the second, merged at once; each counts a microsecond after the one before."""
+    store = VersionedStore(spark, f"{scratch(spark)}/store")
+    lineage = {"source_row": (F.col("plot") % 1000 + 2).cast("long")}
+    rows = fixtures.trials(spark, sf_dir).withColumns({"source_file": F.lit("0.csv"), **lineage})
+    for k in (1, 2):
+        rows = rows.unionByName(fixtures.snapshot(spark, sf_dir).withColumns({"source_file": F.lit(f"{k}.csv"), **lineage}), allowMissingColumns=True)
+    nothing = rows.where(F.lit(False)).select("source_file", "source_row", F.lit("").alias("error_message"))
+    store.load_many(rows, nothing, [(f"load-{k}", f"{k}.csv") for k in range(3)], "2024-01-01 00:00:00", "together")
+    return store.history().select(*MERGE_KEY, "o_a_score", "finalyield", *[F.col(c).cast("string").alias(c) for c in ("valid_from", "valid_to")])
+
+
 @query("S7_value_returns",
        assemble(f"SELECT {_KEY}, o_a_score FROM (SELECT DISTINCT {', '.join(fixtures.BUSINESS)} FROM trials WHERE o_a_score IS NOT NULL)",
                 ["trials"], ["o_a_score"]))
