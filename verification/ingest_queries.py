@@ -12,6 +12,7 @@ from furrow.functions.cleaning import (
 from furrow.operators import headers, scd2
 from furrow.operators.validate import validate
 from furrow.schema import MERGE_KEY, NUMERIC, drop_columns
+from furrow.session import cut_lineage
 from furrow.sources import tables
 from furrow.sources.drops import scan_drop
 from furrow.sources.files import archive, discover, rename
@@ -379,7 +380,7 @@ def _versions(df):
 def scd2_merge(spark, sf_dir):
     history = fixtures.history(spark, sf_dir)
     history = history.withColumn("row_hash", scd2.row_hash(history))
-    batch = fixtures.snapshot(spark, sf_dir)
+    batch = cut_lineage(fixtures.snapshot(spark, sf_dir))
     # Duplicate plots share a record id in the fixture, so the version id must tell them apart.
     history = history.withColumn("record_id", F.sha2(F.concat_ws("|", "record_id", "row_hash"), 256))
     return _versions(scd2.merge(history, batch, F.lit("2025-01-01 00:00:00").cast("timestamp"), "load-3"))
