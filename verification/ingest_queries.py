@@ -391,8 +391,8 @@ def scd2_merge(spark, sf_dir):
                 ["history", "snapshot"], extra=SCD2))
 def key_and_hash_matching(spark, sf_dir):
     history = fixtures.history(spark, sf_dir)
-    active = history.where("valid_to is null").withColumn("row_hash", scd2.row_hash(history))
-    change = scd2.delta(active, fixtures.snapshot(spark, sf_dir), F.lit("2025-01-01 00:00:00").cast("timestamp"), "load-3")
+    active = history.where("valid_to is null").select(*MERGE_KEY, scd2.row_hash(history).alias("row_hash"))
+    change = scd2.delta(active, cut_lineage(fixtures.snapshot(spark, sf_dir)), F.lit("2025-01-01 00:00:00").cast("timestamp"), "load-3")
     return (change.closed.select(F.lit("closed").alias("side"), *MERGE_KEY)
             .unionByName(change.opened.select(F.lit("opened").alias("side"), *MERGE_KEY)))
 
