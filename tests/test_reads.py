@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow import fixtures
+from furrow.sources import tables
 from verification import QUERIES
-from verification.registry import mart
+from verification.registry import known, mart
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,16 @@ def test_fits_read_the_mart_as_written_once(spark, capsys, name):
     found = QUERIES[name](spark, SF)
     assert "lineitem.parquet" not in _plan(found, capsys)
     assert found.agg(F.count("*")).first()[0] > 0
+
+
+def test_child_runs_read_the_trials_once(spark, capsys, monkeypatch):
+    written, write = [], tables.write_result
+
+    def seen(result, *where, **how):
+        written.append(_plan(result, capsys))
+        return write(result, *where, **how)
+
+    monkeypatch.setattr(tables, "write_result", seen)
+    found = {r["run"]: r["n"] for r in QUERIES["S17_child_runs"](spark, SF).collect()}
+    assert len(written) == 6 and not any("lineitem.parquet" in p for p in written)
+    assert sum(found.values()) == known(spark, SF).count()

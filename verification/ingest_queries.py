@@ -530,7 +530,7 @@ def snapshot_round_trip(spark, sf_dir):
 def child_runs(spark, sf_dir):
     """Results written per run and read back by their parent run."""
     root = f"{scratch(spark)}/results"
-    rows = known(spark, sf_dir).withColumn("run", missing_band(missing_fraction(NUMERIC)))
+    rows = cut_lineage(known(spark, sf_dir).select(missing_band(missing_fraction(NUMERIC)).alias("run"), "o_a_score"))  # every run reads it
     for band in ("complete", "medium", "incomplete"):
         result = rows.where(F.col("run") == band).agg(F.count("*").alias("n"), F.avg("o_a_score").alias("mean_score"))
         tables.write_result(result, root, "bands", "parent-1", band, "summary")
