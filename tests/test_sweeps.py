@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.functions import order_stats
 from furrow.functions.stats import regression_metrics
 from furrow.operators import baselines, evaluation, folds
 from furrow.operators.models import ModelSpec
@@ -75,3 +76,28 @@ def test_folds_are_sent_to_the_rows_and_not_dealt_with_them(spark, data, capsys)
     folds.group_kfold(data.drop("fold"), "name1", 5).explain()
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_medians_of_sets_take_no_row_for_each_column(spark, data, capsys, monkeypatch):
+    plans, cut = [], order_stats.cut_lineage
+
+    def seen(df, *more):
+        capsys.readouterr()
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return cut(df, *more)
+
+    monkeypatch.setattr(order_stats, "cut_lineage", seen)
+    found = order_stats.set_medians(data, ["yield", "appearance"], "fold", {0: [1, 2, 3, 4], 1: [0]})
+    got = {(r["set"], r["column"]): r["median"] for r in found.collect()}
+    assert not any("Expand" in p for p in plans)
+    for s, rows in ((0, data.where("fold <> 0")), (1, data.where("fold = 0"))):
+        for c in ("yield", "appearance"):
+            assert got[s, c] == pytest.approx(rows.agg(F.percentile(c, 0.5)).first()[0], abs=1e-9)
+
+
+def test_transfers_share_the_folds_of_their_rows(spark, monkeypatch):
+    made, given = [], ex.with_folds
+    monkeypatch.setattr(ex, "with_folds", lambda *a: made.append(a) or given(*a))
+    ex.environment_transfer(known(spark, SF), ModelSpec("baseline_mean"))
+    assert len(made) == 4
