@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.functions.order_stats import hash_positions
 from furrow.operators.attribution import original_feature
 from furrow.operators.models import ModelSpec
 from furrow.plans import experiments as ex
+from furrow.session import cut_lineage
 
 ROLES = ex.Roles("y", "name1", "env_label", [], ["a", "b"], ["e"])
 
@@ -60,3 +62,21 @@ def test_one_pass_is_a_pass_for_each_feature(rows, spec):
             "row_no long, env_label string, a double, b double, e string")
         after = {r["row_no"]: r["y_pred"] for r in trained.model.predict(trained.stages.transform(swapped)).select("row_no", "y_pred").collect()}
         assert [whole[i, c] for i in sorted(values)] == pytest.approx([after[i] - plain[i] for i in sorted(values)], abs=1e-9)
+
+
+def test_hash_positions_are_the_order_of_the_hashes(spark):
+    keys = spark.range(5000).select((F.col("id") * 7 - 900).alias("row_no"))
+    hashes = keys.select("row_no", F.xxhash64("row_no", F.lit(7)).cast("double").alias("h")).collect()
+    expected = {r["row_no"]: i for i, r in enumerate(sorted(hashes, key=lambda r: (r["h"], r["row_no"])))}
+    for n_rows in (5000, 3_000_000):  # the number of ranges changes nothing
+        assert {r["row_no"]: r["position"] for r in hash_positions(keys, "row_no", 7, n_rows).collect()} == expected
+
+
+def test_rows_are_encoded_once(rows):
+    """The stages ran over every copy before."""
+    trained = ex.fit_all(rows, ModelSpec("rf", {"n_estimators": 2, "max_depth": 2}), ROLES)
+    encoded = ex.TrainedModel(trained.stages, trained.model, trained.slots, cut_lineage(trained.training))
+    calls = []
+    encoded.stages.transform = calls.append
+    assert len(table(ex.permuted_contributions(encoded, ROLES))) == 120 * 3
+    assert not calls
