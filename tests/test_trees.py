@@ -79,3 +79,16 @@ def test_constant_label_and_slots(spark):
     rows = rows.withColumn("features", array_to_vector(F.array(F.lit(1.0), F.col("row_no") * 1.0)))
     for spec in (ModelSpec("rf", {"n_estimators": 2}), ModelSpec("xgb", {"rounds": 2})):
         assert scored(fit_model(spec, rows), rows)[1] == pytest.approx([4.0] * 20)
+
+
+def test_trained_booster_is_saved_with_its_stages(spark, sf_dir, tmp_path):
+    from furrow.plans import experiments as ex
+    from furrow.sources.tables import load_model, save_model
+    from verification.registry import mart
+
+    prepared = ex.prepare(mart(spark, sf_dir))
+    trained = ex.fit_all(prepared, ModelSpec("xgb", {"rounds": 2, "max_depth": 2}))
+    save_model(trained, ex.Roles(), str(tmp_path / "booster"), 0, 5)
+    own = {r["row_no"]: r["y_pred"] for r in trained.model.predict(trained.training).select("row_no", "y_pred").collect()}
+    found = load_model(str(tmp_path / "booster")).transform(prepared).select("row_no", "y_pred").collect()
+    assert len(found) == len(own) and all(own[r["row_no"]] == r["y_pred"] for r in found)
