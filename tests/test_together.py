@@ -55,6 +55,11 @@ def _search_of(spark, sf_dir, monkeypatch, name):
     return asked
 
 
+def test_production_training_searches_all_trials(spark, sf_dir, monkeypatch):
+    assert _search_of(spark, sf_dir, monkeypatch, "E8_production_training") == {
+        "space": ex.BOOSTER_SPACE, "n_trials": 40, "k": 5, "first": ex.BOOSTER_BASELINE, "fixed": None}
+
+
 def test_nested_tuning_searches_all_trials_and_folds(spark, sf_dir, monkeypatch):
     assert _search_of(spark, sf_dir, monkeypatch, "E5_nested_tuning_kernel") == {
         "outer": 5, "inner": 3, "space": ex.KERNEL_SPACE, "n_trials": 20, "k": 3, "first": ex.KERNEL_BASELINE, "fixed": None}
